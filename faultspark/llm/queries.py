@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from faultspark.llm.bestfit import op9_bestfit
+from faultspark.llm.simhash_golay import op3_simhash
 from faultspark.llm.spm_dropout import op1_spm_dropout
 from faultspark.llm.telephony import op2_telephony
 
 QUERIES = {
     "op1_spm_dropout": op1_spm_dropout,
     "op2_telephony": op2_telephony,
+    "op3_simhash": op3_simhash,
     "op9_bestfit": op9_bestfit,
 }
 ORACLES: dict[str, str] = {}

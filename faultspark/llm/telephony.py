@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultspark.llm import work
+from faultspark.llm import arrow, work
 
 UNIT = 64
 RATE = 8000
@@ -196,7 +196,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, media, held = [], [], [], 0
-            for i, data in zip(batch.column(0).to_pylist(), work.text_bytes(batch.column(1))):
+            for i, data in zip(batch.column(0).to_pylist(), arrow.text_bytes(batch.column(1))):
                 ids.append(i)
                 sizes.append(len(data))
                 media.append(wav_bytes(pad(data), codec, rate))

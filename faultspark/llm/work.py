@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: dict[str, SparkSession] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one written table; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/faultspark-{uuid.uuid4().hex}-{name}"
-    _MADE[path] = spark
+    _MADE.append(path)
     return path
 
 
@@ -45,7 +45,8 @@ def drop(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _drop_all() -> None:
-    for path, spark in _MADE.items():
+    spark = SparkSession.getActiveSession()
+    for path in _MADE if spark else ():
         try:
             drop(spark, path)
         except Exception:  # the JVM may be gone already
@@ -54,12 +55,3 @@ def _drop_all() -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def text_bytes(column):
-    """The UTF-8 bytes of an Arrow string column, row by row; null is empty."""
-    import pyarrow as pa
-
-    column = column.cast(pa.large_binary())
-    for value in column:
-        yield value.as_py() or b""
