@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from faultspark.llm.bestfit import op9_bestfit
+from faultspark.llm.langid_kernel import op7_langid
 from faultspark.llm.simhash_golay import op3_simhash
 from faultspark.llm.spm_dropout import op1_spm_dropout
 from faultspark.llm.telephony import op2_telephony
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_spm_dropout": op1_spm_dropout,
     "op2_telephony": op2_telephony,
     "op3_simhash": op3_simhash,
+    "op7_langid": op7_langid,
     "op9_bestfit": op9_bestfit,
 }
 ORACLES: dict[str, str] = {}
