@@ -15,6 +15,8 @@ Spark, salted so that no length sits in one task.
 from __future__ import annotations
 
 import bisect
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +29,8 @@ from faultspark.llm import work
 
 CAPACITY = 2048
 SEPARATOR = 0
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
+CACHED_CHUNKS = 600_000
 ROWS_PER_SALT = 200_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -42,41 +45,64 @@ class WordCache:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer's pre-tokens never cross white space, so the ids of a text
-    are those of its chunks between spaces and line ends, and each chunk is
-    tokenized once while it stays in the cache. Chunks not yet known are
-    tokenized together, with a special token as fence between them."""
+    are those of its chunks between spaces and line ends, and chunks already
+    met are looked up. A new chunk of Latin letters, maybe with a full stop or
+    comma behind, is a word and a mark; new words are tokenized together, and
+    their ids end at the tokens that end a word. Any other new chunk is
+    tokenized on its own."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.fence = "<|endoftext|>"
-        self.fence_id = self.tokenizer.token_to_id(self.fence)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.asarray([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.plain = re.compile("[a-zà-öø-ÿ]+").fullmatch
+        self.marks = {m: self.each([m])[0] if m else b"" for m in ("", ".", ",")}
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    @classmethod
+    def of_worker(cls, path: str) -> WordCache:
+        """The cache of this Python worker, which serves many tasks."""
+        kept = vars(sys).setdefault("_faultspark_word_caches", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def each(self, chunks: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def together(self, words: list[str]) -> list[bytes]:
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return self.each(words)
+        data, ends = ids.tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > CACHED_CHUNKS:
             self.known.clear()
-        plain = list(chunks)
-        if self.fence_id is not None:
-            odd = [c for c in plain if "<|" in c]
-            if odd:
-                plain = [c for c in plain if "<|" not in c]
-        else:
-            odd, plain = plain, []
-        for chunk, got in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
-            self.known[chunk] = np.asarray(got.ids, "<u4").tobytes()
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.asarray(self.tokenizer.encode(f" {self.fence} ".join(part), add_special_tokens=False).ids, "<u4")
-            fences = np.flatnonzero(ids == self.fence_id) if len(part) > 1 else np.empty(0, int)
-            if len(fences) != len(part) - 1:
-                raise ValueError("fences and chunks do not match")
-            data, ends = ids.tobytes(), [*(fences * 4).tolist(), len(ids) * 4]
-            begin = 0
-            for chunk, end in zip(part, ends):
-                self.known[chunk] = data[begin:end]
-                begin = end + 4
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        split, fresh, odd = [], set(), []
+        for chunk in chunks:
+            word, mark = chunk.lower(), ""
+            if word[-1:] in (".", ","):
+                word, mark = word[:-1], word[-1]
+            if self.plain(word):
+                split.append((chunk, word, mark))
+                if word not in self.words:
+                    fresh.add(word)
+            else:
+                odd.append(chunk)
+        fresh = list(fresh)
+        for at in range(0, len(fresh), 1024):
+            part = fresh[at : at + 1024]
+            self.words.update(zip(part, self.together(part)))
+        self.known.update((chunk, self.words[word] + self.marks[mark]) for chunk, word, mark in split)
+        self.known.update(zip(odd, self.each(odd)))
 
     def ids(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
@@ -84,8 +110,7 @@ class WordCache:
             return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
             self.learn(set(chunks).difference(self.known))
-            known = self.known
-            return b"".join([known[c] for c in chunks])
+            return b"".join(map(self.known.__getitem__, chunks))
 
 
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,7 +124,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     schema = PIECES + (", ids binary" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(path)
+        cache = WordCache.of_worker(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
