@@ -29,8 +29,8 @@ from faultspark.llm import work
 
 CAPACITY = 2048
 SEPARATOR = 0
-CACHED_WORDS = 800_000
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 1_000_000
+BATCH_CHARS = 1_500_000
 ROWS_PER_SALT = 200_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -46,10 +46,11 @@ class WordCache:
 
     The tokenizer's pre-tokens never cross white space, so the ids of a text
     are those of its chunks between spaces and line ends, and chunks already
-    met are looked up. A new chunk of Latin letters, maybe with a full stop or
-    comma behind, is a word and a mark; new words are tokenized together, and
-    their ids end at the tokens that end a word. Any other new chunk is
-    tokenized on its own."""
+    met are looked up. The tokenizer lower-cases; where lower-casing the whole
+    text and cutting a full stop or comma off the end of a chunk cannot change
+    the pre-tokens, that is done first, as it leaves fewer chunks. New chunks
+    of Latin letters are words, which are tokenized together: their ids end at
+    the tokens that end a word. Any other new chunk is tokenized alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,8 +59,7 @@ class WordCache:
         size = self.tokenizer.get_vocab_size()
         self.ends = np.asarray([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.plain = re.compile("[a-zà-öø-ÿ]+").fullmatch
-        self.marks = {m: self.each([m])[0] if m else b"" for m in ("", ".", ",")}
-        self.words: dict[str, bytes] = {}
+        self.joined_mark = re.compile(r"(?:[^\w ]|_)[.,] ").search
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -70,6 +70,17 @@ class WordCache:
             kept[path] = cls(path)
         return kept[path]
 
+    def chunks(self, text: str) -> list[str]:
+        flat = text.replace("\n", " ")
+        try:
+            flat.encode("latin-1")
+        except UnicodeEncodeError:
+            return flat.split(" ")
+        flat += " "
+        if self.joined_mark(flat):
+            return flat.split(" ")
+        return flat.lower().replace(". ", " . ").replace(", ", " , ").split(" ")
+
     def each(self, chunks: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -82,35 +93,23 @@ class WordCache:
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        split, fresh, odd = [], set(), []
-        for chunk in chunks:
-            word, mark = chunk.lower(), ""
-            if word[-1:] in (".", ","):
-                word, mark = word[:-1], word[-1]
-            if self.plain(word):
-                split.append((chunk, word, mark))
-                if word not in self.words:
-                    fresh.add(word)
-            else:
-                odd.append(chunk)
-        fresh = list(fresh)
-        for at in range(0, len(fresh), 1024):
-            part = fresh[at : at + 1024]
-            self.words.update(zip(part, self.together(part)))
-        self.known.update((chunk, self.words[word] + self.marks[mark]) for chunk, word, mark in split)
+        plain = self.plain
+        words = [c for c in chunks if plain(c)]
+        odd = list(chunks.difference(words))
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            self.known.update(zip(part, self.together(part)))
         self.known.update(zip(odd, self.each(odd)))
 
-    def ids(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self.learn(set(chunks).difference(self.known))
-            return b"".join(map(self.known.__getitem__, chunks))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHED_CHUNKS:
+            self.known.clear()
+        parts = [self.chunks(t) for t in texts]
+        fresh = set().union(*parts).difference(self.known)
+        if fresh:
+            self.learn(fresh)
+        look = self.known.__getitem__
+        return [b"".join(map(look, p)) for p in parts]
 
 
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,26 +122,30 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     tail = np.asarray([SEPARATOR], "<u4").tobytes()
     schema = PIECES + (", ids binary" if keep_ids else "")
 
+    def emit(docs: list, texts: list[bytes]) -> pa.RecordBatch:
+        out, step = [], 4 * capacity
+        for doc, data in zip(docs, texts):
+            data += tail
+            for k, begin in enumerate(range(0, len(data), step)):
+                ids = data[begin : begin + step]
+                out.append((doc, k, begin // 4, len(ids) // 4, zlib.crc32(ids), *([ids] if keep_ids else [])))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names[: len(out[0])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache.of_worker(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                fresh: set[str] = set()
-                for text in texts:
-                    fresh.update(text.replace("\n", " ").split(" "))
-                cache.learn(fresh.difference(cache.known))
-                out: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), texts):
-                    data = cache.ids(text) + tail
-                    step = 4 * capacity
-                    for k, begin in enumerate(range(0, len(data), step)):
-                        ids = data[begin : begin + step]
-                        out.append((doc, k, begin // 4, len(ids) // 4, zlib.crc32(ids), *([ids] if keep_ids else [])))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names[: len(out[0])])
+            docs, held, chars = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                docs.append(doc)
+                held.append(text.as_py() or "")
+                chars += len(held[-1])
+                if chars >= BATCH_CHARS:
+                    yield emit(docs, cache.encode(held))
+                    docs, held, chars = [], [], 0
+            if docs:
+                yield emit(docs, cache.encode(held))
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
