@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from faultspark.llm.bestfit import op9_bestfit
 from faultspark.llm.langid_kernel import op7_langid
+from faultspark.llm.line_edit import op10_line_edit
 from faultspark.llm.simhash_golay import op3_simhash
 from faultspark.llm.spm_dropout import op1_spm_dropout
 from faultspark.llm.telephony import op2_telephony
@@ -14,5 +15,6 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op7_langid": op7_langid,
     "op9_bestfit": op9_bestfit,
+    "op10_line_edit": op10_line_edit,
 }
 ORACLES: dict[str, str] = {}
