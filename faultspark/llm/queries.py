@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from faultspark.llm.bestfit import op9_bestfit
+from faultspark.llm.html_template import op5_html_template
 from faultspark.llm.langid_kernel import op7_langid
 from faultspark.llm.line_edit import op10_line_edit
 from faultspark.llm.simhash_golay import op3_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_spm_dropout": op1_spm_dropout,
     "op2_telephony": op2_telephony,
     "op3_simhash": op3_simhash,
+    "op5_html_template": op5_html_template,
     "op7_langid": op7_langid,
     "op9_bestfit": op9_bestfit,
     "op10_line_edit": op10_line_edit,
