@@ -9,11 +9,13 @@ from faultspark.llm.line_edit import op10_line_edit
 from faultspark.llm.simhash_golay import op3_simhash
 from faultspark.llm.spm_dropout import op1_spm_dropout
 from faultspark.llm.telephony import op2_telephony
+from faultspark.llm.warc import op4_warc
 
 QUERIES = {
     "op1_spm_dropout": op1_spm_dropout,
     "op2_telephony": op2_telephony,
     "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
     "op5_html_template": op5_html_template,
     "op7_langid": op7_langid,
     "op9_bestfit": op9_bestfit,
