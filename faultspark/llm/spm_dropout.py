@@ -30,7 +30,7 @@ from faultspark.llm import work
 RATE = 0.1
 SEED = 17
 VARIANTS = 8
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 800_000  # of each half of the cache
 SPACE = "▁"
 BATCH_CHARS = 2_000_000
 MIX, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -66,9 +66,11 @@ class Pieces:
                 self.raw.append(piece.replace(SPACE, " ").encode())
         if any(re.search(r"[^ ] |.\n|\n.", p) for p in self.ranks):
             raise ValueError("a piece reaches across spaces or line ends")
-        marks = not any(re.search(r"[^\W_][.,]", p) for p in self.ranks)
-        self.chunks = re.compile(r" *[^ \n]*[^\W_](?=[.,](?: |\n|$))| *[^ \n]+| +|\n" if marks else r" *[^ \n]+| +|\n").findall
+        self.marks = set() if any(re.search(r"[^\W_][.,]", p) for p in self.ranks) else {".", ","}
+        self.chunks = re.compile(r" *[^ \n]+| +|\n").findall
         self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.size = 0
 
     @classmethod
     def of_worker(cls, path: str, rate: float, seed: int) -> Pieces:
@@ -83,13 +85,11 @@ class Pieces:
         """Ids of a chunk, in which a space stands for the vocabulary's space mark."""
         ranks, bar = self.ranks, self.bar
         # A space mark in the text itself is no space: it never merges.
-        parts: list[str | None] = [("\0" if c == SPACE else c) for c in chunk]
+        parts: list[str | None] = list(chunk.replace(SPACE, "\0"))
         n = len(parts)
         before, after, ends = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, int, int]] = []
-        for left in range(n - 1):
-            if found := ranks.get(parts[left] + parts[left + 1]):
-                agenda.append((found[0], left, left + 1, left + 2))
+        founds = map(ranks.get, map(str.__add__, parts, parts[1:]))
+        agenda = [(found[0], left, left + 1, left + 2) for left, found in enumerate(founds) if found]
         heapq.heapify(agenda)
         while agenda:
             _, left, right, end = heapq.heappop(agenda)
@@ -133,15 +133,25 @@ class Pieces:
         known, out = self.known, []
         for chunk, pick in zip(chunks, picks):
             got = known[pick].get(chunk)
-            if got is None:
-                ids = self.segment(chunk, xxhash.xxh64_intdigest(b"%d:%d:" % (self.seed, pick) + chunk.encode()))
-                got = np.asarray(ids, "<u4").tobytes()
-                if len(known[pick]) > CACHED_CHUNKS // VARIANTS:
-                    known[pick].clear()
-                known[pick][chunk] = got
-            out.append(got)
+            out.append(self.learn(chunk, pick) if got is None else got)
+        if self.size > CACHED_CHUNKS:
+            self.older, self.known, self.size = self.known, [{} for _ in range(VARIANTS)], 0
         return b"".join(out)
 
+    def learn(self, chunk: str, pick: int) -> bytes:
+        """Ids of a chunk that isn't in the younger half of the cache. No piece joins
+        a letter or digit and a mark behind it, so such a mark is cut off."""
+        got = self.older[pick].get(chunk)
+        if got is None:
+            if chunk[-1] in self.marks and chunk[-2:-1].isalnum():
+                base = chunk[:-1]
+                got = (self.known[pick].get(base) or self.learn(base, pick)) + (self.known[pick].get(chunk[-1]) or self.learn(chunk[-1], pick))
+            else:
+                got = np.asarray(self.segment(chunk, xxhash.xxh64_intdigest(b"%d:%d:" % (self.seed, pick) + chunk.encode())), "<u4").tobytes()
+        self.known[pick][chunk] = got
+        self.size += 1
+        return got
+
     def decode(self, ids) -> str:
         raw = self.raw
         return b"".join([raw[i] for i in ids])[1:].decode()
