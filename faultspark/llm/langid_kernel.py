@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from faultspark.llm import work
 
@@ -135,14 +136,18 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE,
     return Model([r[0] for r in taken], [r[1] for r in taken]) if taken else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred and score of whole texts.
+def predict(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred and score of whole texts; with ``carry`` beside all columns
+    of ``docs``, in which columns of those two names are replaced.
 
     ``und`` with score 0 where the text is null or has no letter, or where
     there was nothing to learn from. The score is half of one plus the winning
     regression value, kept between 0 and 1; ties go to the first language in
-    order. Repeated rows and null ids give a row each; only doc_id and text
-    are read."""
+    order. Repeated rows and null ids give a row each; predictions read the
+    text alone."""
+    given = docs.drop("lang_pred", "score") if carry else docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    schema = StructType([*given.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    names, at_text = given.columns, given.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum = Spectrum()
@@ -152,7 +157,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 langs, scores = [UND] * part.num_rows, np.zeros(part.num_rows)
                 used, sizes = [], []
-                for k, text in enumerate(part.column(1)):
+                for k, text in enumerate(part.column(at_text)):
                     text = text.as_py() or ""
                     if model is None or not spectrum.has_letter(text):
                         continue
@@ -168,9 +173,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     for k, b, row in zip(used, best, got):
                         langs[k] = model.langs[b]
                         scores[k] = min(1.0, max(0.0, (1 + float(row[b])) / 2))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    told = given.mapInArrow(run, schema)
+    return told if carry else told.drop("text")
 
 
 def op7_langid(spark, sf_dir: str) -> DataFrame:
