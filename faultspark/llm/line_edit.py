@@ -1,6 +1,6 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line of at least ``MIN_CHARS`` characters (white space trimmed) is dropped if
+A line of at least ``MIN_CHARS`` characters (spaces trimmed) is dropped if
 an equal line stands earlier, by doc_id and line number, anywhere in the
 corpus, or if an earlier line is within ``THRESHOLD`` = 2 edits of it. Shorter
 lines are left alone.
@@ -45,21 +45,28 @@ def _lines(docs: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("body"),
         F.posexplode(F.split("text", "\n")).alias("at", "raw"),
     )
-    found = parted.select("doc", "body", "at", F.btrim("raw", F.lit(" \t\r")).alias("line")).where(F.char_length("line") >= MIN_CHARS)
+    found = parted.select("doc", "body", "at", F.trim("raw").alias("line")).where(F.char_length("line") >= MIN_CHARS)
     place = F.coalesce("doc", F.lit(LAST)).cast("decimal(38,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("at")
     return found.select("doc", "body", "at", "line", place.cast("decimal(38,0)").alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(THRESHOLD), "line").alias("g"))
 
 
-def _keys(line: Column) -> Column:
-    """Array of (key, moved) of a line's segments; moved is 0 where it stands."""
+def _part(line: Column, at: Column, size: Column) -> Column:
+    """A substring's bytes; where all characters are one byte, cut as bytes."""
+    return F.when(F.octet_length(line) == F.char_length(line), F.substring(line.cast("binary"), at, size)).otherwise(F.substring(line, at, size).cast("binary"))
+
+
+def _keys(line: Column, moves: bool = False) -> Column:
+    """Array of the keys of a line's segments; with ``moves`` of (key, moved), where
+    moved is 0 for a segment where it stands."""
     n = F.char_length(line)
 
     def of(base: Column) -> list[Column]:
         side = F.floor(base / 3).cast("int")
         middle = (base - 2 * side).cast("int")
-        keys = [(1, F.substring(line, F.lit(1), side), 0), (3, F.substring(line, (n - side + 1).cast("int"), side), 0)]
-        keys += [(2, F.substring(line, (side + 1 + m).cast("int"), middle), m) for m in (0, -1, 1)]
-        return [F.struct(F.xxhash64(F.lit(k), base, part).alias("key"), F.lit(m).alias("moved")) for k, part, m in keys]
+        keys = [(1, _part(line, F.lit(1), side), 0), (3, _part(line, (n - side + 1).cast("int"), side), 0)]
+        keys += [(2, _part(line, (side + 1 + m).cast("int"), middle), m) for m in (0, -1, 1)]
+        hashed = [(F.xxhash64(F.lit(k), base, part), m) for k, part, m in keys]
+        return [F.struct(h.alias("key"), F.lit(m).alias("moved")) if moves else h for h, m in hashed]
 
     base = (n - n % STEP).cast("int")
     own, below = F.array(*of(base)), F.array(*of((base - STEP).cast("int")))
@@ -114,7 +121,7 @@ def within(a: Column, b: Column) -> Column:
 
 def _pairs(few: DataFrame, limit: int) -> DataFrame:
     """Verified pairs (a, b) of line numbers of ``few`` (id, line, chars, sketch), a < b."""
-    keyed = few.select("id", "sketch", F.char_length("line").alias("n"), F.explode(F.array_distinct(_keys(F.col("line")))).alias("k")).select("id", "n", "sketch", "k.key", "k.moved")
+    keyed = few.select("id", "sketch", F.char_length("line").alias("n"), F.explode(F.array_distinct(_keys(F.col("line"), True))).alias("k")).select("id", "n", "sketch", "k.key", "k.moved")
     keyed = work.cut(keyed, "keyed")
     sizes = work.cut(keyed.groupBy(F.col("key").alias("bucket")).agg(F.count("*").alias("held")).where("held > 1"), "sizes")
     shared = work.cut(keyed.join(sizes, F.col("key") == F.col("bucket")).select("id", "n", "sketch", "key", "moved", "held"), "shared")
@@ -142,9 +149,9 @@ def decisions(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row per line that has an equal or near line elsewhere: doc, body, at,
     whether it is dropped as equal or as near, and its number of near lines."""
     lines = _lines(docs)
-    spots = work.cut(lines.select("doc", "body", "at", "place", "h", "g"), "spots")
+    spots = work.cut(lines.select("doc", "body", "at", "place", "h", "g", _keys(F.col("line")).alias("keys")), "spots")
     same = spots.groupBy("h", "g").agg(F.count("*").alias("many"), F.min("place").alias("first"))
-    keys = lines.select("h", F.explode(_keys(F.col("line"))).alias("k")).select("h", "k.key", "k.moved")
+    keys = spots.select("h", F.explode("keys").alias("key"))
     met = work.cut(keys.groupBy(F.col("key").alias("met")).agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("met"), "met")
     marked = work.cut(keys.join(met, F.col("key") == F.col("met")).select(F.col("h").alias("marked")).distinct(), "marked")
     if marked.count() <= BROADCAST_ROWS:
