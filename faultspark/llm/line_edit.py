@@ -16,9 +16,9 @@ characters differ by no more than two edits can make them, are candidates. They
 are verified by a banded bit-parallel edit distance: a bit for each of five
 diagonals, a word for each number of edits.
 
-Keys with more than ``LIMIT`` lines are split by counts of six classes of
-characters: two edits change each count by at most two, so a cell of counts and
-the cell below, if near, hold all partners; nothing is dropped.
+Keys with more than ``LIMIT`` lines are split by counts of four classes of
+characters: two edits change each count by at most two, so a line looks for its
+partners in the cells of counts that are two away at most; nothing is dropped.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ THRESHOLD = 2
 STEP = 12
 LIMIT = 48
 CELL = 6
-CLASSES = ("eé", "tnTN", "aoáóAO", "isIS", "rhlcRHLC", "dumpgbD .,")
+CLASSES = ("eéEÉ", "tnTN", "aoáóAO", "rhlcRHLC")
 BROADCAST_ROWS = 1_000_000
 LAST = (1 << 63) - 1
 
@@ -74,13 +74,15 @@ def _keys(line: Column, moves: bool = False) -> Column:
 
 
 def _sketch(line: Column) -> Column:
-    """Bit k tells whether the neighbouring pairs of characters hashed to k are
-    odd in number. An edit takes away two pairs and brings two at most, so two
-    edits flip at most eight bits."""
+    """Two words of bits. A bit of ``two`` tells whether the neighbouring pairs of
+    characters hashed to it are odd in number, one of ``one`` that of single
+    characters. An edit takes away two pairs and a character and brings as many,
+    at most, so two edits flip at most eight bits and four."""
     chars = F.split(line, "")
     pairs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda x, y: F.hash(x, y))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)))
-    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+    odd = lambda hashes: F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+    return F.struct(odd(pairs).alias("two"), odd(F.transform(chars, lambda c: F.hash(c))).alias("one"))
 
 
 def _counts(line: Column) -> list[Column]:
@@ -130,14 +132,14 @@ def _pairs(few: DataFrame, limit: int) -> DataFrame:
     counted = few.select(F.col("id").alias("one"), *(c.alias(f"c{k}") for k, c in enumerate(_counts(F.col("line")))))
     cells = crowd.join(counted, F.col("id") == F.col("one"))
     for k in range(len(CLASSES)):
-        c = F.col(f"c{k}")
-        cell = F.floor(c / CELL).cast("int")
-        cells = cells.withColumn(f"c{k}", F.explode(F.when(c % CELL < THRESHOLD, F.array(cell, cell - 1)).otherwise(F.array(cell))))
-    heavy = cells.select("id", "n", "sketch", F.xxhash64("key", *(f"c{k}" for k in range(len(CLASSES)))).alias("key"), "moved")
-    rows = work.cut(light.union(heavy), "rows")
-    a = rows.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("af"), "key", F.col("moved").alias("am"))
-    b = rows.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bf"), F.col("key").alias("other"), F.col("moved").alias("bm"))
-    near = (F.col("a") < F.col("b")) & (F.abs(F.col("an") - F.col("bn")) <= THRESHOLD) & ((F.col("am") == 0) | (F.col("bm") == 0)) & (F.bit_count(F.col("af").bitwiseXOR(F.col("bf"))) <= 4 * THRESHOLD)
+        low, high = (F.floor((F.col(f"c{k}") + d) / CELL).cast("int") for d in (-THRESHOLD, THRESHOLD))
+        cells = cells.withColumn(f"p{k}", F.when(low < high, F.array(low, high)).otherwise(F.array(low)))
+    home = cells.select("id", "n", "sketch", F.xxhash64("key", *(F.floor(F.col(f"c{k}") / CELL).cast("int") for k in range(len(CLASSES)))).alias("key"), "moved")
+    for k in range(len(CLASSES)):
+        cells = cells.withColumn(f"p{k}", F.explode(f"p{k}"))
+    seek = cells.select("id", "n", "sketch", F.xxhash64("key", *(f"p{k}" for k in range(len(CLASSES)))).alias("key"), "moved")
+    a, b = (work.cut(light.union(x), name).select(F.col("id").alias(s), F.col("n").alias(s + "n"), F.col("sketch").alias(s + "f"), F.col("key").alias(k), F.col("moved").alias(s + "m")) for x, name, s, k in ((home, "home", "a", "key"), (seek, "seek", "b", "other")))
+    near = (F.col("a") < F.col("b")) & (F.abs(F.col("an") - F.col("bn")) <= THRESHOLD) & ((F.col("am") == 0) | (F.col("bm") == 0)) & (F.bit_count(F.col("af.two").bitwiseXOR(F.col("bf.two"))) <= 4 * THRESHOLD) & (F.bit_count(F.col("af.one").bitwiseXOR(F.col("bf.one"))) <= 2 * THRESHOLD)
     pairs = a.join(b, (F.col("key") == F.col("other")) & near).select("a", "b").distinct()
     left = few.select(F.col("id").alias("x"), F.col("chars").alias("a_chars"))
     right = few.select(F.col("id").alias("y"), F.col("chars").alias("b_chars"))
