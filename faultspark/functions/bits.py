@@ -56,7 +56,7 @@ def vcd_id(name: Column) -> Column:
     null if it is empty, holds another character or is too large."""
     codes = F.transform(F.reverse(F.split(name, "")), lambda c: (F.ascii(c) - 32).cast("decimal(38,0)"))
     total = F.aggregate(codes, F.lit(0).cast("decimal(38,0)"), lambda acc, c: (acc * F.lit(94).cast("decimal(2,0)") + c).cast("decimal(38,0)"))
-    return F.when(name.rlike("^[!-~]{1,10}$") & (total - 1 < F.lit(2**63).cast("decimal(38,0)")), (total - 1).try_cast("bigint"))
+    return F.when(name.rlike("^[!-~]{1,10}$") & (total <= F.lit(2**63 - 1).cast("decimal(38,0)")), (total - 1).try_cast("bigint"))
 
 
 def vcd_name(name: Column) -> Column:

@@ -62,11 +62,15 @@ def dynamic_slice(flow: DataFrame, coverage: DataFrame, start: DataFrame, step:
         found = cut(rows if found is None else found.unionByName(rows.join(found.select("bid", "time"), ["bid", "time"], "left_anti")))
         fresh = live.groupBy("bid", "scope", "seq", "line", "out").agg(F.max("time").alias("time"))
         if done is not None:
-            fresh = fresh.join(done.withColumnRenamed("line", "_line"), (fresh.bid == done.bid) & (fresh.out == done.out) & fresh.line.eqNullSafe(F.col("_line")), "left_anti")
+            met = (F.col("bid") == F.col("_b")) & (F.col("out") == F.col("_o")) & F.col("line").eqNullSafe(F.col("_l"))
+            fresh = fresh.join(done, met, "left_anti")
         fresh = cut(fresh)
-        marks = fresh.select("bid", "line", "out")
+        marks = fresh.select(F.col("bid").alias("_b"), F.col("line").alias("_l"), F.col("out").alias("_o"))
         done = cut(marks if done is None else done.unionByName(marks))
-        drivers = fresh.join(flow.select("bid", F.col("line").alias("_l"), "out", "src"), (fresh.bid == flow.bid) & (fresh.out == flow.out) & fresh.line.eqNullSafe(F.col("_l"))).select("scope", F.col("src").alias("out"), (F.col("time") - F.when(F.col("seq"), F.lit(step)).otherwise(F.lit(0))).alias("time"))
+        uses = flow.select(F.col("bid").alias("_b"), F.col("line").alias("_l"), F.col("out").alias("_o"), "src")
+        met = (F.col("bid") == F.col("_b")) & (F.col("out") == F.col("_o")) & F.col("line").eqNullSafe(F.col("_l"))
+        earlier = F.col("time") - F.when(F.col("seq"), F.lit(step)).otherwise(F.lit(0))
+        drivers = fresh.join(uses, met).select("scope", F.col("src").alias("out"), earlier.alias("time"))
         frontier = cut(drivers.where(F.col("time") >= (bound or 0)).distinct().join(asked, ["scope", "out", "time"], "left_anti"))
         asked = cut(asked.unionByName(frontier))
         level += 1

@@ -20,3 +20,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+from faultspark.plans import localization, records  # noqa: E402, F401
