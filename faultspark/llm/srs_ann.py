@@ -126,15 +126,16 @@ FOUND = "qa bigint, qb bigint, score double, ids array<bigint>, radius double"
 def _search(data, queries, want: int, ratio: float):
     import pandas as pd
 
+    kinds = {"qa": "int64", "qb": "int64", "score": "float64", "ids": object, "radius": "float64"}
     if not len(data) or not len(queries):
-        return pd.DataFrame({"qa": [], "qb": [], "score": [], "ids": [], "radius": []})
+        return pd.DataFrame([], columns=list(kinds)).astype(kinds)
     unpack = lambda c: np.stack([np.frombuffer(x, "<f8") for x in c])
     leaves = Leaves(unpack(data.place), unpack(data.vector), [np.asarray(i) for i in data.ids])
     out = []
     for qa, qb, place, vector, radius in zip(queries.qa, queries.qb, unpack(queries.place), unpack(queries.vector), queries.radius):
         rows, far, radius = leaves.search(place, vector, want, radius, ratio)
         out += [(qa, qb, float(d), leaves.ids[r].tolist(), radius) for r, d in zip(rows.tolist(), far)]
-    return pd.DataFrame(out, columns=["qa", "qb", "score", "ids", "radius"])
+    return pd.DataFrame(out, columns=list(kinds)).astype(kinds)
 
 
 def nearest(vectors: DataFrame, every: int = 100, neighbours: int = NEIGHBOURS, sure: float = SURE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
