@@ -147,13 +147,13 @@ def dead_assign_filter(spark, sf_dir):
 
 @query(
     "coverage_scope_fallback",
-    """WITH s AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'cpu.soc.nutcore.' ELSE '' END || 'cpu.soc.nutcore.' || event_type AS path FROM events)
-       SELECT event_id, CASE WHEN event_id % 2 = 0 THEN substring(path, 17) ELSE path END AS path FROM s""",
+    """WITH s AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'cpu.soc.core.' ELSE '' END || 'cpu.soc.core.' || event_type AS path FROM events)
+       SELECT event_id, CASE WHEN event_id % 2 = 0 THEN substring(path, 14) ELSE path END AS path FROM s""",
 )
 def coverage_scope_fallback(spark, sf_dir):
-    twice = F.when(F.col("event_id") % 2 == 0, "cpu.soc.nutcore.").otherwise("")
-    rows = fx.load(spark, sf_dir, "events").select("event_id", F.concat(twice, F.lit("cpu.soc.nutcore."), F.col("event_type")).alias("path"))
-    return rows.withColumn("path", coverage.single_scope(F.col("path"), "cpu.soc.nutcore."))
+    twice = F.when(F.col("event_id") % 2 == 0, "cpu.soc.core.").otherwise("")
+    rows = fx.load(spark, sf_dir, "events").select("event_id", F.concat(twice, F.lit("cpu.soc.core."), F.col("event_type")).alias("path"))
+    return rows.withColumn("path", coverage.single_scope(F.col("path"), "cpu.soc.core."))
 
 
 # Blocks
