@@ -29,7 +29,7 @@ from faultspark.llm import work
 
 CAPACITY = 2048
 SEPARATOR = 0
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 700_000
 BATCH_CHARS = 1_500_000
 ROWS_PER_SALT = 200_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -147,7 +147,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
             if docs:
                 yield emit(docs, cache.encode(held))
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return work.bound_batches(docs).select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

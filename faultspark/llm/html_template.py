@@ -252,7 +252,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE,
     null ids and repeated rows give a row each. Broken markup is read as far as
     it goes. Only the three named columns are read. Templates are sent to all
     tasks if they are few, else joined to their pages."""
-    narrow = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
+    narrow = work.bound_batches(pages).select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     found = work.cut(templates(narrow, min_pages, share), "templates")
     none = F.lit(None).cast("array<bigint>")
     if found.count() <= broadcast_rows:

@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFr
                         scores[k] = min(1.0, max(0.0, (1 + float(row[b])) / 2))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
 
-    told = given.mapInArrow(run, schema)
+    told = work.bound_batches(given).mapInArrow(run, schema)
     return told if carry else told.drop("text")
 
 

@@ -207,7 +207,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec
             if ids:
                 yield emit(ids, sizes, media)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return work.bound_batches(docs).select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def op2_telephony(spark, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, pa
 
 def mark_revisits(pages: DataFrame, min_payload: int = MIN_PAYLOAD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, html and original: the page whose payload this one repeats, or null."""
-    narrow = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    narrow = work.bound_batches(pages).select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     hashed = narrow.withColumns({"sha": F.unhex(F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html")})
     known = hashed.where((F.col("size") >= min_payload) & F.col("page_id").isNotNull()).groupBy(F.col("sha").alias("same"), F.col("size").alias("long")).agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
     known = work.cut(known.where("n > 1").select("same", "long", "top"), "repeated")

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
 _MADE: list[str] = []
 
 
@@ -53,5 +54,15 @@ def _drop_all() -> None:
             return
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold ``BATCH_BYTES`` at most, unless it
+    sets a smaller bound itself: a batch of long texts must fit a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = df.sparkSession.conf.get(key)
+    if not given.rstrip("b").isdigit() or not 0 < int(given.rstrip("b")) <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
