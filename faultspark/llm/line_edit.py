@@ -129,8 +129,9 @@ def _pairs(few: DataFrame, limit: int) -> DataFrame:
     shared = work.cut(keyed.join(sizes, F.col("key") == F.col("bucket")).select("id", "n", "sketch", "key", "moved", "held"), "shared")
     light = shared.where(F.col("held") <= limit).select("id", "n", "sketch", "key", "moved")
     crowd = shared.where(F.col("held") > limit)
-    counted = few.select(F.col("id").alias("one"), *(c.alias(f"c{k}") for k, c in enumerate(_counts(F.col("line")))))
-    cells = crowd.join(counted, F.col("id") == F.col("one"))
+    crowded = work.cut(crowd.select(F.col("id").alias("one")).distinct(), "crowded")
+    counted = few.join(crowded, F.col("id") == F.col("one")).select("one", *(c.alias(f"c{k}") for k, c in enumerate(_counts(F.col("line")))))
+    cells = crowd.join(work.cut(counted, "counted"), F.col("id") == F.col("one"))
     for k in range(len(CLASSES)):
         low, high = (F.floor((F.col(f"c{k}") + d) / CELL).cast("int") for d in (-THRESHOLD, THRESHOLD))
         cells = cells.withColumn(f"p{k}", F.when(low < high, F.array(low, high)).otherwise(F.array(low)))
