@@ -79,3 +79,46 @@ def bind_ports(ports_: DataFrame, connections: DataFrame) -> DataFrame:
     exact = ports_.join(connections.select("scope", "port", F.col("signal").alias("_s")), ["scope", "port"], "left")
     tail = connections.groupBy("scope", F.substring_index("port", "_", -2).alias("_tail")).agg(F.min("signal").alias("_t"))
     return exact.withColumn("_tail", F.substring_index("port", "_", -2)).join(tail, ["scope", "_tail"], "left").select("scope", "port", F.coalesce("_s", "_t").alias("signal"))
+
+
+def suffix_search(asked: DataFrame, signals: DataFrame, least: int = 4) -> DataFrame:
+    """(name, signal, scope): of the signals whose name ends in a name of ``least``
+    or more characters the first by scope and signal.
+
+    An ending is an equi-join on the signals' suffixes."""
+    ends = F.transform(F.sequence(F.lit(1), F.char_length("signal")), lambda i: F.substring(F.col("signal"), i, F.char_length("signal")))
+    keyed = signals.select("scope", "signal", F.explode(F.filter(ends, lambda e: F.char_length(e) >= least)).alias("name"))
+    first = keyed.groupBy("name").agg(F.min(F.struct("scope", "signal")).alias("m"))
+    return asked.select("name").distinct().join(first, "name").select("name", "m.signal", "m.scope")
+
+
+def without_own_outputs(variables: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Variables (bid, text, ...) that their block doesn't compute itself."""
+    return variables.join(outputs.select("bid", "text").distinct(), ["bid", "text"], "left_anti")
+
+
+def identifiers(nodes: DataFrame) -> DataFrame:
+    return nodes.where(F.col("kind") == "Identifier")
+
+
+def first_line_of(wanted: DataFrame, sources: DataFrame) -> DataFrame:
+    """Line number of the first source line (key, source) that equals the wanted text
+    (key, text), both trimmed; null if there is none."""
+    lines = sources.select("key", F.posexplode(F.split("source", "\n")).alias("at", "line")).select("key", F.trim("line").alias("text"), (F.col("at") + 1).cast("bigint").alias("line"))
+    first = lines.groupBy("key", "text").agg(F.min("line").alias("line"))
+    return wanted.select("key", F.trim("text").alias("text")).join(first, ["key", "text"], "left")
+
+
+def instruction_at(probes: DataFrame, trace: DataFrame) -> DataFrame:
+    """The first instruction of a trace (key, at, pc, instruction) at each probe's (key, pc)."""
+    first = trace.groupBy("key", "pc").agg(F.min_by("instruction", "at").alias("instruction"))
+    return probes.join(first, ["key", "pc"], "left")
+
+
+def without_ignored(frontier: DataFrame, ignored: DataFrame, how: str) -> DataFrame:
+    """A frontier (module, bid, ...) without what an early stop excludes: whole
+    modules, single blocks, or nothing."""
+    if how == "none":
+        return frontier
+    key = {"module": "module", "block": "bid"}[how]
+    return frontier.join(ignored.select(key).distinct(), key, "left_anti").select(*frontier.columns)

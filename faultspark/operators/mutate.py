@@ -26,13 +26,11 @@ def constant(literal: Column, draw: Column) -> Column:
     head = F.concat(F.regexp_extract(literal, pattern, 1), F.regexp_extract(literal, pattern, 2))
     plain = F.regexp_extract(literal, pattern, 2) == ""
     whole = F.when(plain, F.concat(F.regexp_extract(literal, pattern, 1), digits)).otherwise(digits)
-    out = None
-    for r in (2, 8, 10, 16):
-        value = F.conv(whole, r, 10).cast("decimal(20,0)")
-        less = F.when(value == 0, F.lit(1).cast("decimal(20,0)")).otherwise(F.floor(value.cast("double") * draw).cast("decimal(20,0)"))
-        shown = F.lower(F.conv(less.cast("string"), 10, r))
-        kept = F.when(F.char_length(shown) < F.char_length(whole), F.lpad(shown, F.char_length(whole), F.lit("0"))).otherwise(shown)
-        out = F.when(radix == r, kept) if out is None else out.when(radix == r, kept)
+    conv = lambda text, from_, to: F.call_function("conv", text, from_, to)
+    value = conv(whole, radix, F.lit(10)).cast("decimal(20,0)")
+    less = F.when(value == 0, F.lit(1).cast("decimal(20,0)")).otherwise(F.floor(value.cast("double") * draw).cast("decimal(20,0)"))
+    shown = F.lower(conv(less.cast("string"), F.lit(10), radix))
+    out = F.lpad(shown, F.greatest(F.char_length(shown), F.char_length(whole)), F.lit("0"))
     return F.when(literal.rlike(pattern), F.when(plain, out).otherwise(F.concat(head, out)))
 
 

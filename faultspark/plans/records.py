@@ -468,3 +468,67 @@ def json_fence(spark, sf_dir):
     raw = F.concat(F.lit('said {"a": {"b": '), t, F.lit("}} done"))
     text = F.when(F.col("turn") % 3 == 0, fenced).when(F.col("turn") % 3 == 1, raw).otherwise("nothing")
     return fx.load(spark, sf_dir, "conversations").select("conv_id", "turn", logs.reply_json(text).alias("found"))
+
+
+# Lookups of names, lines and instructions
+
+
+@query(
+    "suffix_search",
+    """WITH s AS (SELECT DISTINCT p_size AS scope, replace(p_name, ' ', '_') AS signal FROM part), a AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part),
+       j AS (SELECT name, signal, scope, row_number() OVER (PARTITION BY name ORDER BY scope, signal) AS k FROM a JOIN s ON ends_with(signal, name) WHERE length(name) >= 4)
+       SELECT name, signal, scope FROM j WHERE k = 1""",
+)
+def suffix_search(spark, sf_dir):
+    part = fx.load(spark, sf_dir, "part")
+    signals = part.select(F.col("p_size").alias("scope"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("signal")).distinct()
+    return blocks.suffix_search(part.select(F.explode(F.split("p_name", " ")).alias("name")), signals)
+
+
+@query("own_outputs", "SELECT DISTINCT l_orderkey AS bid, l_partkey AS text FROM lineitem EXCEPT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1")
+def own_outputs(spark, sf_dir):
+    rows = fx.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bid"), F.col("l_partkey").alias("text"), "l_linenumber")
+    return blocks.without_own_outputs(rows, rows.where("l_linenumber = 1")).select("bid", "text").distinct()
+
+
+@query(
+    "buggy_line",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+       w AS (SELECT doc_id, trim(string_split(text, chr(10))[-1], ' ') AS t FROM documents) SELECT w.doc_id AS key, min(k)::BIGINT AS line FROM w LEFT JOIN l ON l.doc_id = w.doc_id AND trim(x, ' ') = t GROUP BY w.doc_id""",
+)
+def buggy_line(spark, sf_dir):
+    docs = fx.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("source"))
+    wanted = docs.select("key", F.concat(F.lit("  "), F.element_at(F.split("source", "\n"), -1)).alias("text"))
+    return blocks.first_line_of(wanted, docs).select("key", "line")
+
+
+@query("instruction_at", "SELECT p.event_id, t.instruction FROM (SELECT event_id, user_id, event_id % 9 AS pc FROM events WHERE event_type = 'error') p LEFT JOIN (SELECT user_id, event_id % 7 AS pc, min_by(event_type, event_id) AS instruction FROM events GROUP BY 1, 2) t ON t.user_id = p.user_id AND t.pc = p.pc")
+def instruction_at(spark, sf_dir):
+    events = fx.load(spark, sf_dir, "events").withColumnRenamed("user_id", "key")
+    trace = events.select("key", F.col("event_id").alias("at"), (F.col("event_id") % 7).alias("pc"), F.col("event_type").alias("instruction"))
+    return blocks.instruction_at(events.where("event_type = 'error'").select("event_id", "key", (F.col("event_id") % 9).alias("pc")), trace).select("event_id", "instruction")
+
+
+@query("early_stop", "SELECT l_orderkey AS bid, l_suppkey AS module FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
+def early_stop(spark, sf_dir):
+    frontier = fx.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bid"), F.col("l_suppkey").alias("module"))
+    ignored = fx.load(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("module"))
+    return blocks.without_ignored(frontier, ignored, "module")
+
+
+@query("constant_mutation", "SELECT p_partkey, '8''h' || CASE WHEN p_size = 0 THEN '01' ELSE lpad(lower(to_hex(floor(p_size * 0.5)::BIGINT)), 2, '0') END AS mutated FROM part")
+def constant_mutation(spark, sf_dir):
+    literal = F.concat(F.lit("8'h"), F.lpad(F.lower(F.hex("p_size")), 2, "0"))
+    return fx.load(spark, sf_dir, "part").select("p_partkey", mutate.constant(literal, F.lit(0.5)).alias("mutated"))
+
+
+@query("scope_weights", "SELECT p_brand AS scope, count(*) AS weight, sum(count(*)) OVER (ORDER BY p_brand ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, (SELECT count(*) FROM part) AS total FROM part GROUP BY p_brand")
+def scope_weights(spark, sf_dir):
+    return mutate.weighted_scopes(fx.load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("scope")).agg(F.count("*").alias("weight")))
+
+
+@query("signal_picks", "SELECT user_id, event_type AS name, count(DISTINCT event_id % 4)::BIGINT AS n FROM events GROUP BY 1, 2")
+def signal_picks(spark, sf_dir):
+    rows = fx.load(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), (F.col("event_id") % 4).alias("time"))
+    chosen = rows.select("user_id", F.concat("name", F.lit("[0]")).alias("name"), (F.col("time") + F.when(F.col("time") == 3, 9).otherwise(0)).alias("time")).distinct()
+    return evaluate.pick_signals(chosen.unionByName(rows.select("user_id", F.col("name"), F.lit(99).cast("bigint").alias("time")).distinct()), rows, ["user_id"]).groupBy("user_id", "name").agg(F.count("*").alias("n"))
