@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_MADE: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a local one
+    only where the session names none, as in tests."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = getattr(spark, "_faultspark_folder", None) or "file://" + tempfile.mkdtemp(prefix="faultspark-")
+        spark._faultspark_folder = named
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed and kept in the folder of ``spark.checkpoint.dir``.
-
-    The folder is one that all executors share; where the session names none,
-    as in tests, a local one is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="faultspark-"))
-    return df.checkpoint()
+    """``df``, written once as a table in the shared folder and read back.
+
+    A checkpoint of the rows would compute them twice; the files survive lost
+    executors just the same, and are removed when the driver ends."""
+    path = f"{folder(df.sparkSession)}/faultspark-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _MADE if spark else ():
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the JVM may be gone already
+            return

@@ -48,8 +48,9 @@ def test_static_slice_holds_dynamic_slice(spark):
     covered = sorted({("top", rng.randrange(5), t, 1) for t in range(6) for _ in range(3)})
     table = spark.createDataFrame(flow, "bid int, scope string, seq boolean, line int, out string, src string")
     start = spark.createDataFrame([("top", "s0", 5)], "scope string, signal string, time bigint")
-    out = slicing.dynamic_slice(table, spark.createDataFrame(covered, "scope string, line int, time bigint, count int"), start)
-    got = {(r.bid, r.time): r.level for r in out.collect()}
+    cover = spark.createDataFrame(covered, "scope string, line int, time bigint, count int")
+    got = {(r.bid, r.time): r.level for r in slicing.dynamic_slice(table, cover, start).collect()}
+    assert {(r.bid, r.time): r.level for r in slicing.dynamic_slice(table, cover, start, local_rows=0).collect()} == got
     live = {(line, t) for _, line, t, _ in covered}
     frontier, asked, done, want, level = {("s0", 5)}, {("s0", 5)}, set(), {}, 0
     while frontier:
@@ -74,8 +75,11 @@ def test_static_slice_holds_dynamic_slice(spark):
 def test_timed_reach(spark):
     edges = spark.createDataFrame([(1, 2, 1), (2, 3, 0), (3, 1, 1), (3, 4, 5)], "dst int, src int, dt int")
     start = spark.createDataFrame([(1, 3)], "node int, time int")
-    assert rows(slicing.reach(edges, start).select("node", "time"), "time", "node") == [(2, 0), (3, 0), (1, 1), (2, 2), (3, 2), (1, 3)][0:2] + [(1, 1), (2, 2), (3, 2), (1, 3)]
-    assert slicing.reach(edges, start, limit=2).count() == 3
+    for local in (0, 1000):
+        assert rows(slicing.reach(edges, start, local_rows=local), "time", "node") == [(2, 0, 4), (3, 0, 5), (1, 1, 3), (2, 2, 1), (3, 2, 2), (1, 3, 0)]
+        assert rows(slicing.reach(edges, start, limit=2, local_rows=local), "level") == [(1, 3, 0), (2, 2, 1), (3, 2, 2)]
+        assert rows(slicing.reach(edges, start, scope=F.col("node") != 3, local_rows=local), "level") == [(1, 3, 0), (2, 2, 1)]
+        assert rows(slicing.reach(edges, start, timed=False, local_rows=local).select("node"), "node") == [(1,), (2,), (3,), (4,)]
 
 
 def test_scopes_and_drivers(spark):
