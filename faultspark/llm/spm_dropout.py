@@ -30,10 +30,12 @@ from faultspark.llm import work
 RATE = 0.1
 SEED = 17
 VARIANTS = 8
-CACHED_CHUNKS = 800_000  # of each half of the cache
+CACHED_CHUNKS = 1_400_000  # of each half of the cache
 SPACE = "▁"
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 3_000_000
 MIX, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+NEVER = (1 << 31) - 1
+STEP_ROWS = 6_000
 
 
 def default_model() -> str:
@@ -50,6 +52,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.seed, self.bar = seed, int(rate * 2**64)
+        self.seeds = [xxhash.xxh64_intdigest(b"%d" % pick, seed) for pick in range(VARIANTS)]
         self.ranks: dict[str, tuple[float, int]] = {}
         self.raw: list[bytes] = []
         self.bytes_id = [0] * 256
@@ -66,11 +69,11 @@ class Pieces:
                 self.raw.append(piece.replace(SPACE, " ").encode())
         if any(re.search(r"[^ ] |.\n|\n.", p) for p in self.ranks):
             raise ValueError("a piece reaches across spaces or line ends")
+        self._tables()
         self.marks = set() if any(re.search(r"[^\W_][.,]", p) for p in self.ranks) else {".", ","}
         self.chunks = re.compile(r" *[^ \n]+| +|\n").findall
         self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
         self.older: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.size = 0
 
     @classmethod
     def of_worker(cls, path: str, rate: float, seed: int) -> Pieces:
@@ -118,39 +121,136 @@ class Pieces:
             at = after[at]
         return ids
 
-    def encode(self, text: str, key: int = 0) -> bytes:
-        """Ids as little-endian unsigned 32-bit bytes; an empty text has none."""
-        if not text:
-            return b""
-        chunks = self.chunks(" " + text)
+    def _tables(self) -> None:
+        """The characters' symbols, and for each pair of symbols what it merges to."""
+        ids = {p: i for p, (_, i) in self.ranks.items()}
+        ordered = {score: k for k, score in enumerate(sorted({r[0] for r in self.ranks.values()}))}
+        self.symbols = np.full(0x110000, -1, np.int32)
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.symbols[ord(piece)] = i
+        self.symbols[ord(SPACE)] = -1
+        self.count = len(self.raw)
+        found = [(ids[p[:k]] * self.count + ids[p[k:]], ordered[score], i) for p, (score, i) in self.ranks.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        found.sort()
+        keys, ranks, merged = zip(*found) if found else ((), (), ())
+        self.pairs, self.pair_ranks, self.pair_ids = np.array(keys, np.int64), np.array(ranks, np.int32), np.array(merged, np.int32)
+
+    def _candidates(self, left: np.ndarray, right: np.ndarray, spans: tuple, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of merging symbols; NEVER where there is no piece or the hash skips it."""
+        pair = left.astype(np.int64) * self.count + right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        ok = (self.pairs[at] == pair) & (left >= 0) & (right >= 0)
+        if self.bar:
+            a, b, c = (x.astype(np.uint64) for x in spans)
+            mix = np.uint64(MIX)
+            ok &= (key ^ (a << np.uint64(40) ^ b << np.uint64(20) ^ c) * mix) * mix >= np.uint64(self.bar)
+        return np.where(ok, self.pair_ranks[at], NEVER), self.pair_ids[at]
+
+    def segment_many(self, chunks: list[str], keys: list[int]) -> list[bytes]:
+        """``segment`` for many chunks: their agendas are worked off in step, the best
+        candidate of each chunk at a time."""
+        out: list[bytes | None] = [None] * len(chunks)
+        sizes = np.array([len(c) for c in chunks])
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
+        symbols = self.symbols[points]
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        known = np.minimum.reduceat(symbols, begins[:-1]) >= 0 if len(chunks) else np.empty(0, bool)
+        for low, high in ((0, 6), (6, 10), (10, 16), (16, 32)):
+            rows = np.flatnonzero(known & (sizes > low) & (sizes <= high))
+            for at in range(0, len(rows), STEP_ROWS):
+                part = rows[at : at + STEP_ROWS]
+                self._in_step(part, high, symbols, begins, sizes, np.array([keys[r] for r in part], np.uint64), out)
+        for k, got in enumerate(out):
+            if got is None:
+                out[k] = np.asarray(self.segment(chunks[k], keys[k]), "<u4").tobytes()
+        return out
+
+    def _in_step(self, rows, width, symbols, begins, sizes, key, out) -> None:
+        columns = np.arange(width)
+        inside = columns < sizes[rows][:, None]
+        symbol = np.full((len(rows), width + 2), -1, np.int32)
+        symbol[:, :width][inside] = symbols[(begins[rows][:, None] + columns)[inside]]
+        start = np.minimum(np.arange(width + 2, dtype=np.int32), sizes[rows].astype(np.int32)[:, None])
+        rank, result = self._candidates(symbol[:, :width], symbol[:, 1 : width + 1], (start[:, :width], start[:, 1 : width + 1], start[:, 2:]), key[:, None])
+        count = sizes[rows].copy()
+        while len(rows):
+            each = np.arange(len(rows))
+            best = rank.argmin(1)
+            live = rank[each, best] < NEVER
+            done = np.flatnonzero(~live)
+            if len(done):
+                many = count[done]
+                data = symbol[done, :width][columns < many[:, None]].astype("<u4").tobytes()
+                ends = np.cumsum(many) * 4
+                for row, begin, end in zip(rows[done].tolist(), (ends - many * 4).tolist(), ends.tolist()):
+                    out[row] = data[begin:end]
+            if not live.all():
+                rows, best, symbol, start, rank, result, key, count = (x[live] for x in (rows, best, symbol, start, rank, result, key, count))
+                each = np.arange(len(rows))
+                if not len(rows):
+                    return
+            merged = result[each, best]
+            after = np.arange(width + 1) > best[:, None]
+            symbol[:, :-1] = np.where(after, symbol[:, 1:], symbol[:, :-1])
+            start[:, :-1] = np.where(after, start[:, 1:], start[:, :-1])
+            after = after[:, : width - 1]
+            rank[:, :-1], result[:, :-1] = np.where(after, rank[:, 1:], rank[:, :-1]), np.where(after, result[:, 1:], result[:, :-1])
+            symbol[each, best] = merged
+            count -= 1
+            for place in (best, best - 1):
+                ok = place >= 0
+                p = np.where(ok, place, 0)
+                new = self._candidates(symbol[each, p], symbol[each, p + 1], (start[each, p], start[each, p + 1], start[each, np.minimum(p + 2, width + 1)]), key)
+                rank[each[ok], p[ok]], result[each[ok], p[ok]] = new[0][ok], new[1][ok]
+
+    def chunk_key(self, chunk: str, pick: int) -> int:
+        return xxhash.xxh64_intdigest(chunk, self.seeds[pick])
+
+    def _picks(self, count: int, key: int) -> list[int]:
         if not self.bar:
-            picks = [0] * len(chunks)
-        else:  # a splitmix64 step of key and place
-            z = (np.arange(len(chunks), dtype=np.uint64) + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            picks = ((z ^ (z >> np.uint64(27))) >> np.uint64(40)) % np.uint64(VARIANTS)
-            picks = picks.tolist()
-        known, out = self.known, []
-        for chunk, pick in zip(chunks, picks):
-            got = known[pick].get(chunk)
-            out.append(self.learn(chunk, pick) if got is None else got)
-        if self.size > CACHED_CHUNKS:
-            self.older, self.known, self.size = self.known, [{} for _ in range(VARIANTS)], 0
-        return b"".join(out)
-
-    def learn(self, chunk: str, pick: int) -> bytes:
-        """Ids of a chunk that isn't in the younger half of the cache. No piece joins
-        a letter or digit and a mark behind it, so such a mark is cut off."""
-        got = self.older[pick].get(chunk)
-        if got is None:
-            if chunk[-1] in self.marks and chunk[-2:-1].isalnum():
-                base = chunk[:-1]
-                got = (self.known[pick].get(base) or self.learn(base, pick)) + (self.known[pick].get(chunk[-1]) or self.learn(chunk[-1], pick))
+            return [0] * count
+        z = (np.arange(count, dtype=np.uint64) + np.uint64(key)) * np.uint64(MIX)  # a splitmix64 step of key and place
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (((z ^ (z >> np.uint64(27))) >> np.uint64(40)) % np.uint64(VARIANTS)).tolist()
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit bytes; an empty text has none."""
+        known, older = self.known, self.older
+        parts, fresh = [], set()
+        for text, key in zip(texts, keys):
+            chunks = self.chunks(" " + text) if text else []
+            picks = self._picks(len(chunks), key)
+            got = [known[p].get(c) for c, p in zip(chunks, picks)]
+            parts.append((chunks, picks, got))
+            if None in got:
+                fresh.update([(c, p) for c, p, g in zip(chunks, picks, got) if g is None])
+        need: dict[tuple[str, int], None] = {}
+        cut = []
+        for chunk, pick in fresh:
+            got = older[pick].get(chunk)
+            if got is not None:
+                known[pick][chunk] = got
+            elif chunk[-1] in self.marks and chunk[-2:-1].isalnum():
+                cut.append((chunk, pick))
+                for x in (chunk[:-1], chunk[-1]):
+                    if x not in known[pick]:
+                        need[x, pick] = None
             else:
-                got = np.asarray(self.segment(chunk, xxhash.xxh64_intdigest(b"%d:%d:" % (self.seed, pick) + chunk.encode())), "<u4").tobytes()
-        self.known[pick][chunk] = got
-        self.size += 1
-        return got
+                need[chunk, pick] = None
+        if need:
+            pairs, digest, seeds = list(need), xxhash.xxh64_intdigest, self.seeds
+            for (chunk, pick), got in zip(pairs, self.segment_many([c for c, _ in pairs], list(map(digest, [c for c, _ in pairs], [seeds[p] for _, p in pairs])))):
+                known[pick][chunk] = got
+        for chunk, pick in cut:  # no piece joins a letter or digit and a mark behind it
+            known[pick][chunk] = known[pick][chunk[:-1]] + known[pick][chunk[-1]]
+        out = [b"".join([known[p][c] if g is None else g for c, p, g in zip(chunks, picks, got)] if None in got else got) for chunks, picks, got in parts]
+        if sum(map(len, known)) > CACHED_CHUNKS:
+            self.older, self.known = known, [{} for _ in range(VARIANTS)]
+        return out
+
+    def encode(self, text: str, key: int = 0) -> bytes:
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids) -> str:
         raw = self.raw
@@ -178,20 +278,23 @@ def encode(docs: DataFrame, path: str | None = None, rate: float = RATE, seed: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of_worker(path, rate, seed)
+        def finish(ids: list, texts: list[str]) -> pa.RecordBatch:
+            data = pieces.encode_all(texts, [doc_key(seed, i) for i in ids])
+            return emit([(i, zlib.crc32(d), pieces.decode(np.frombuffer(d, "<u4").tolist()) == t, d) for i, t, d in zip(ids, texts, data)])
+
+        ids, texts, held = [], [], 0
         for batch in batches:
-            rows, held = [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
-                data = pieces.encode(text, doc_key(seed, i))
-                rows.append((i, zlib.crc32(data), pieces.decode(np.frombuffer(data, "<u4").tolist()) == text, data))
-                held += len(text)
+                ids.append(i)
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
                 if held >= BATCH_CHARS:
-                    yield emit(rows)
-                    rows, held = [], 0
-            if rows:
-                yield emit(rows)
+                    yield finish(ids, texts)
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield finish(ids, texts)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, lossless boolean, ids array<int>")
+    return work.bound_batches(docs).select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, lossless boolean, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
