@@ -36,6 +36,7 @@ BATCH_CHARS = 3_000_000
 MIX, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 NEVER = (1 << 31) - 1
 STEP_ROWS = 6_000
+FIRST = 0x250
 
 
 def default_model() -> str:
@@ -134,18 +135,34 @@ class Pieces:
         found = [(ids[p[:k]] * self.count + ids[p[k:]], ordered[score], i) for p, (score, i) in self.ranks.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
         found.sort()
         keys, ranks, merged = zip(*found) if found else ((), (), ())
+        # A table of the pairs of the first characters, as all agendas start with pairs of characters.
+        small = [i for i in self.symbols[:FIRST] if i >= 0]
+        self.small = np.full(self.count + 1, -1, np.int32)
+        self.small[small] = np.arange(len(small))
+        self.small_rank = np.full((len(small), len(small)), NEVER, np.int32)
+        self.small_id = np.zeros_like(self.small_rank)
+        for pair, rank, i in found:
+            a, b = self.small[pair // self.count], self.small[pair % self.count]
+            if a >= 0 and b >= 0:
+                self.small_rank[a, b], self.small_id[a, b] = rank, i
         self.pairs, self.pair_ranks, self.pair_ids = np.array(keys, np.int64), np.array(ranks, np.int32), np.array(merged, np.int32)
 
-    def _candidates(self, left: np.ndarray, right: np.ndarray, spans: tuple, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _candidates(self, left: np.ndarray, right: np.ndarray, spans: tuple, key: np.ndarray, first: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of merging symbols; NEVER where there is no piece or the hash skips it."""
-        pair = left.astype(np.int64) * self.count + right
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        ok = (self.pairs[at] == pair) & (left >= 0) & (right >= 0)
+        if first:
+            a, b = self.small[left], self.small[right]
+            rank, result = self.small_rank[a, b], self.small_id[a, b]
+            ok = (a >= 0) & (b >= 0)
+        else:
+            pair = left.astype(np.int64) * self.count + right
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            rank, result = self.pair_ranks[at], self.pair_ids[at]
+            ok = (self.pairs[at] == pair) & (left >= 0) & (right >= 0)
         if self.bar:
             a, b, c = (x.astype(np.uint64) for x in spans)
             mix = np.uint64(MIX)
             ok &= (key ^ (a << np.uint64(40) ^ b << np.uint64(20) ^ c) * mix) * mix >= np.uint64(self.bar)
-        return np.where(ok, self.pair_ranks[at], NEVER), self.pair_ids[at]
+        return np.where(ok, rank, NEVER), result
 
     def segment_many(self, chunks: list[str], keys: list[int]) -> list[bytes]:
         """``segment`` for many chunks: their agendas are worked off in step, the best
@@ -172,7 +189,7 @@ class Pieces:
         symbol = np.full((len(rows), width + 2), -1, np.int32)
         symbol[:, :width][inside] = symbols[(begins[rows][:, None] + columns)[inside]]
         start = np.minimum(np.arange(width + 2, dtype=np.int32), sizes[rows].astype(np.int32)[:, None])
-        rank, result = self._candidates(symbol[:, :width], symbol[:, 1 : width + 1], (start[:, :width], start[:, 1 : width + 1], start[:, 2:]), key[:, None])
+        rank, result = self._candidates(symbol[:, :width], symbol[:, 1 : width + 1], (start[:, :width], start[:, 1 : width + 1], start[:, 2:]), key[:, None], first=bool((self.small[symbol[:, :width][inside]] >= 0).all()))
         count = sizes[rows].copy()
         while len(rows):
             each = np.arange(len(rows))
@@ -217,13 +234,15 @@ class Pieces:
     def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """Ids of texts as little-endian unsigned 32-bit bytes; an empty text has none."""
         known, older = self.known, self.older
+        look = [d.get for d in known]
         parts, fresh = [], set()
         for text, key in zip(texts, keys):
             chunks = self.chunks(" " + text) if text else []
             picks = self._picks(len(chunks), key)
-            got = [known[p].get(c) for c, p in zip(chunks, picks)]
-            parts.append((chunks, picks, got))
-            if None in got:
+            got = [look[p](c) for c, p in zip(chunks, picks)]
+            whole = all(got)  # ids of a chunk are never empty
+            parts.append((chunks, picks, got, whole))
+            if not whole:
                 fresh.update([(c, p) for c, p, g in zip(chunks, picks, got) if g is None])
         need: dict[tuple[str, int], None] = {}
         cut = []
@@ -244,7 +263,7 @@ class Pieces:
                 known[pick][chunk] = got
         for chunk, pick in cut:  # no piece joins a letter or digit and a mark behind it
             known[pick][chunk] = known[pick][chunk[:-1]] + known[pick][chunk[-1]]
-        out = [b"".join([known[p][c] if g is None else g for c, p, g in zip(chunks, picks, got)] if None in got else got) for chunks, picks, got in parts]
+        out = [b"".join([known[p][c] if g is None else g for c, p, g in zip(chunks, picks, got)] if not whole else got) for chunks, picks, got, whole in parts]
         if sum(map(len, known)) > CACHED_CHUNKS:
             self.older, self.known = known, [{} for _ in range(VARIANTS)]
         return out
