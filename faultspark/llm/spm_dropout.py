@@ -13,6 +13,7 @@ seed, document and place.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import sys
@@ -30,7 +31,7 @@ from faultspark.llm import work
 RATE = 0.1
 SEED = 17
 VARIANTS = 8
-CACHED_CHUNKS = 1_400_000  # of each half of the cache
+CACHED_CHUNKS = 1_600_000  # of each half of the cache
 SPACE = "▁"
 BATCH_CHARS = 3_000_000
 MIX, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -71,8 +72,13 @@ class Pieces:
         if any(re.search(r"[^ ] |.\n|\n.", p) for p in self.ranks):
             raise ValueError("a piece reaches across spaces or line ends")
         self._tables()
-        self.marks = set() if any(re.search(r"[^\W_][.,]", p) for p in self.ranks) else {".", ","}
-        self.chunks = re.compile(r" *[^ \n]+| +|\n").findall
+        self.raw_sizes = np.array([len(r) for r in self.raw], np.int32)
+        self.raw_begins = np.cumsum(self.raw_sizes) - self.raw_sizes
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        if any(re.search(r"[^\W_][.,]", p) for p in self.ranks):
+            self.chunks = re.compile(r" *[^ \n]+| +|\n").findall
+        else:  # no piece joins a letter or digit and a mark behind it, so chunks end there too
+            self.chunks = re.compile(r" *(?:[^ \n.,]+|(?<![^\W_])[.,])+|[.,](?:[^ \n.,]+|(?<![^\W_])[.,])*| +|\n").findall
         self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
         self.older: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
 
@@ -224,45 +230,41 @@ class Pieces:
     def chunk_key(self, chunk: str, pick: int) -> int:
         return xxhash.xxh64_intdigest(chunk, self.seeds[pick])
 
-    def _picks(self, count: int, key: int) -> list[int]:
+    def _picks(self, counts: list[int], keys: list[int]) -> list[list[int]]:
+        """For each text the dropout keys of its chunks: a splitmix64 step of the text's key and the place."""
         if not self.bar:
-            return [0] * count
-        z = (np.arange(count, dtype=np.uint64) + np.uint64(key)) * np.uint64(MIX)  # a splitmix64 step of key and place
+            return [[0] * n for n in counts]
+        ends = np.cumsum(counts)
+        place = np.arange(ends[-1], dtype=np.uint64) - np.repeat((ends - counts).astype(np.uint64), counts)
+        z = (place + np.repeat(np.array(keys, np.uint64), counts)) * np.uint64(MIX)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (((z ^ (z >> np.uint64(27))) >> np.uint64(40)) % np.uint64(VARIANTS)).tolist()
+        picks = (((z ^ (z >> np.uint64(27))) >> np.uint64(40)) % np.uint64(VARIANTS)).tolist()
+        return [picks[e - n : e] for e, n in zip(ends.tolist(), counts)]
 
     def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """Ids of texts as little-endian unsigned 32-bit bytes; an empty text has none."""
         known, older = self.known, self.older
         look = [d.get for d in known]
         parts, fresh = [], set()
-        for text, key in zip(texts, keys):
-            chunks = self.chunks(" " + text) if text else []
-            picks = self._picks(len(chunks), key)
+        cut = [self.chunks(" " + t) if t else [] for t in texts]
+        for chunks, picks in zip(cut, self._picks([len(c) for c in cut], keys)):
             got = [look[p](c) for c, p in zip(chunks, picks)]
             whole = all(got)  # ids of a chunk are never empty
             parts.append((chunks, picks, got, whole))
             if not whole:
                 fresh.update([(c, p) for c, p, g in zip(chunks, picks, got) if g is None])
-        need: dict[tuple[str, int], None] = {}
-        cut = []
+        need = []
         for chunk, pick in fresh:
             got = older[pick].get(chunk)
-            if got is not None:
-                known[pick][chunk] = got
-            elif chunk[-1] in self.marks and chunk[-2:-1].isalnum():
-                cut.append((chunk, pick))
-                for x in (chunk[:-1], chunk[-1]):
-                    if x not in known[pick]:
-                        need[x, pick] = None
+            if got is None:
+                need.append((chunk, pick))
             else:
-                need[chunk, pick] = None
-        if need:
-            pairs, digest, seeds = list(need), xxhash.xxh64_intdigest, self.seeds
-            for (chunk, pick), got in zip(pairs, self.segment_many([c for c, _ in pairs], list(map(digest, [c for c, _ in pairs], [seeds[p] for _, p in pairs])))):
                 known[pick][chunk] = got
-        for chunk, pick in cut:  # no piece joins a letter or digit and a mark behind it
-            known[pick][chunk] = known[pick][chunk[:-1]] + known[pick][chunk[-1]]
+        if need:
+            wanted, picks = zip(*need)
+            made = self.segment_many(wanted, list(map(xxhash.xxh64_intdigest, wanted, [self.seeds[p] for p in picks])))
+            for chunk, pick, ids in zip(wanted, picks, made):
+                known[pick][chunk] = ids
         out = [b"".join([known[p][c] if g is None else g for c, p, g in zip(chunks, picks, got)] if not whole else got) for chunks, picks, got, whole in parts]
         if sum(map(len, known)) > CACHED_CHUNKS:
             self.older, self.known = known, [{} for _ in range(VARIANTS)]
@@ -275,6 +277,18 @@ class Pieces:
         raw = self.raw
         return b"".join([raw[i] for i in ids])[1:].decode()
 
+    def decode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The UTF-8 bytes of texts from their ids, all at once."""
+        ids = np.frombuffer(b"".join(texts), "<i4")
+        sizes = self.raw_sizes[ids]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.arange(total, dtype=np.int32) + np.repeat((self.raw_begins[ids] - (ends - sizes)).astype(np.int32), sizes)
+        data = self.raw_bytes[place].tobytes()
+        cuts = np.concatenate([[0], np.cumsum([len(t) // 4 for t in texts])])
+        at = np.concatenate([[0], ends])[cuts].tolist()
+        return [data[a + 1 : b] if b > a else b"" for a, b in zip(at, at[1:])]
+
 
 def doc_key(seed: int, doc_id) -> int:
     return xxhash.xxh64_intdigest(b"%d|" % seed + str(doc_id).encode())
@@ -299,9 +313,11 @@ def encode(docs: DataFrame, path: str | None = None, rate: float = RATE, seed: i
         pieces = Pieces.of_worker(path, rate, seed)
         def finish(ids: list, texts: list[str]) -> pa.RecordBatch:
             data = pieces.encode_all(texts, [doc_key(seed, i) for i in ids])
-            return emit([(i, zlib.crc32(d), pieces.decode(np.frombuffer(d, "<u4").tolist()) == t, d) for i, t, d in zip(ids, texts, data)])
+            back = pieces.decode_all(data)
+            return emit([(i, zlib.crc32(d), b == t.encode(), d) for i, t, d, b in zip(ids, texts, data, back)])
 
         ids, texts, held = [], [], 0
+        gc.disable()  # no circles are made here, and the collector would walk the cache time and again
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids.append(i)
@@ -312,6 +328,7 @@ def encode(docs: DataFrame, path: str | None = None, rate: float = RATE, seed: i
                     ids, texts, held = [], [], 0
         if ids:
             yield finish(ids, texts)
+        gc.enable()
 
     return work.bound_batches(docs).select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, lossless boolean, ids array<int>")
 
