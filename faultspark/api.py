@@ -59,3 +59,25 @@ def test_report(lines: DataFrame, trace: DataFrame, step: int, keys: tuple = ("b
     said = F.when(F.col("kind") == "Pc", F.coalesce("before", "now")).otherwise(F.col("now"))
     start = logs.start_time(F.col("failure_time"), F.lit(step))
     return joined.select(*keys, "kind", start.alias("start_time"), logs.time_bound(start, F.lit(step)).alias("time_bound"), logs.report_text(F.col("kind"), said, F.col("dut"), F.col("oracle")).alias("test_info"))
+
+
+def naive_localize(files: list[str], decide, score, sources: dict[str, str], k: int = 10) -> list[tuple[str, int, float]]:
+    """Lines of the files that ``decide`` picks from a directory tree, as ``score`` sees them.
+
+    ``decide`` maps the tree to file names, ``score`` a source to pairs of a line's
+    text and a score; a text counts for its first equal line, others are dropped.
+    Returns (file, line, score), best first."""
+    found = []
+    for name in decide(navigate.tree(files)):
+        lines = [x.strip() for x in sources.get(name, "").split("\n")]
+        for text, value in score(sources.get(name, "")):
+            if text.strip() in lines:
+                found.append((name, lines.index(text.strip()) + 1, value))
+    return sorted(found, key=lambda x: (-x[2], x[0], x[1]))[:k]
+
+
+def mutations(sites: DataFrame, seed: int = 0) -> DataFrame:
+    """Replacements of ``rtl.read_mutation_sites``, one per site, drawn by a hash of the seed and the place."""
+    draw = F.pmod(F.xxhash64("module", "at", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    new = F.when(F.col("kind") == "operator", mutate.mutated(F.col("token"))).otherwise(mutate.constant(F.col("token"), draw))
+    return sites.withColumn("replacement", new).where("replacement IS NOT NULL AND replacement <> token")

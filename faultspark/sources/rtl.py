@@ -383,3 +383,45 @@ def signal_map(rows: DataFrame) -> DataFrame:
 
     ports = rows.where("kind IN ('ModuleInput', 'ModuleOutput')").select("module", F.col("name").alias("port"), canonical_port(F.col("name")).alias("canonical")).where("canonical IS NOT NULL").distinct()
     return ports.groupBy("module").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("port", "canonical")))).alias("ports"))
+
+
+SITES = "file string, module string, line int, at int, len int, token string, kind string"
+
+
+def mutation_sites(source: str) -> list[dict]:
+    """Places of a source whose token may be mutated: operators between operands, and constants."""
+    from faultspark.operators.mutate import OPERATORS
+
+    try:
+        parser = Parser(source)
+        parser.parse()
+    except (SyntaxError, IndexError):
+        return []
+    out, tokens = [], parser.tokens
+    for before, t, after in zip(tokens, tokens[1:], tokens[2:]):
+        operand = before.kind in ("name", "number") and before.text not in KEYWORDS or before.text in (")", "]", "}")
+        # Between two operands <= compares only inside brackets or behind an assignment; statements are told by the parser.
+        if t.kind == "op" and t.text in OPERATORS and operand and after.text not in (")", "]", ";", ","):
+            out.append({"module": parser.module, "line": t.line, "at": t.at, "len": len(t.text), "token": t.text, "kind": "operator"})
+        elif t.kind == "number":
+            out.append({"module": parser.module, "line": t.line, "at": t.at, "len": len(t.text), "token": t.text, "kind": "constant"})
+    assigned = {r["at"] for r in parser.rows if r["kind"] == "output"}
+    names = {t.at: k for k, t in enumerate(tokens)}
+    starts = {tokens[names[a] + 1].at for a in assigned if a in names and names[a] + 1 < len(tokens)}
+    return [r for r in out if not (r["token"] == "<=" and r["at"] in starts)]
+
+
+def read_mutation_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """``mutation_sites`` of all .sv and .v files of a folder."""
+    import pandas as pd
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{sv,v}").load(folder).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.path, batch.content):
+                rows = mutation_sites(bytes(content).decode("utf-8", "replace"))
+                if rows:
+                    yield pd.DataFrame([{"file": path, **r} for r in rows])[[c.split()[0] for c in SITES.split(", ")]]
+
+    return files.mapInPandas(run, SITES)

@@ -149,3 +149,19 @@ class VcdSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(VcdSource)
+
+
+def sniff(head: bytes) -> str:
+    """The kind of waveform file that starts with some bytes: vcd, fst, ghw or unknown."""
+    if head.startswith(b"GHDLwave\n"):
+        return "ghw"
+    if head[:1] == b"\0" and len(head) >= 9 and int.from_bytes(head[1:9], "big") == 329:
+        return "fst"
+    if re.match(rb"\s*\$(date|version|timescale|comment|scope|var|attrbegin|enddefinitions)\b", head):
+        return "vcd"
+    return "unknown"
+
+
+def kind_of(path: str) -> str:
+    with _open(path) as file:
+        return sniff(file.read(256))

@@ -286,3 +286,23 @@ def test_stream(spark, tmp_path):
     query.stop()
     last = {r.signal: (r.time, r.value) for r in spark.table("held").orderBy("time").collect()}
     assert last["a"][0] == 3 and last["b"] == (5, "1")
+
+
+def test_sniff():
+    assert [vcd.sniff(x) for x in (b"$date\n", b"GHDLwave\n\0", b"\0" + (329).to_bytes(8, "big"), b"junk", b"")] == ["vcd", "ghw", "fst", "unknown", "unknown"]
+
+
+def test_mutation_sites(spark, tmp_path):
+    (tmp_path / "alu.sv").write_text(SV)
+    sites = rtl.read_mutation_sites(spark, str(tmp_path))
+    tokens = {(r.line, r.token, r.kind) for r in sites.collect()}
+    assert {(3, "+", "operator"), (5, "==", "operator"), (5, "8'h0", "constant")} <= tokens
+    assert not any(t == "<=" for _, t, _ in tokens)
+    changed = {(r.line, r.token): r.replacement for r in api.mutations(sites).collect()}
+    assert changed[3, "+"] == "-" and changed[5, "=="] == "!=" and changed[5, "8'h0"] == "8'h1"
+
+
+def test_naive_localize():
+    sources = {"a.sv": "x\n  y;\ny;", "b.sv": "z"}
+    found = api.naive_localize(list(sources), lambda tree: [x for x in tree.split("\n") if x == "a.sv"], lambda s: [("y;", 0.4), ("x", 0.9), ("none", 1.0)], sources)
+    assert found == [("a.sv", 1, 0.9), ("a.sv", 2, 0.4)]
