@@ -72,9 +72,9 @@ def commits(log: Column) -> Column:
         part = lambda k: F.regexp_extract(line, pattern, k)
         return F.struct(part(1).cast("int").alias("idx"), hex_number(part(2)).alias("pc"), hex_number(part(3)).cast("bigint").alias("inst"), part(4).cast("int").alias("wen"), part(5).cast("int").alias("dst"), hex_number(part(6)).alias("data"))
 
-    rows = F.transform(lines, one)
-    numbers = F.transform(rows, lambda r: r["idx"])
-    return F.filter(rows, lambda r, i: F.array_position(numbers, r["idx"]) == i + 1)
+    empty = F.array().cast("array<struct<idx:int,pc:decimal(20,0),inst:bigint,wen:int,dst:int,data:decimal(20,0)>>")
+    index = lambda line: F.regexp_extract(line, pattern, 1).cast("int")
+    return F.aggregate(lines, empty, lambda acc, line: F.when(F.exists(acc, lambda c: c["idx"] == index(line)), acc).otherwise(F.concat(acc, F.array(one(line)))))
 
 
 def differences(log: Column) -> Column:
