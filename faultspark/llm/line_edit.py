@@ -195,8 +195,7 @@ def dedup_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     own = docs.withColumns({"_doc": F.col("doc_id").cast("bigint"), "_body": F.xxhash64("text")})
     joined = own.join(per, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_body") == F.col("body")), "left")
     parts = F.split("text", "\n")
-    gone = F.map_from_arrays(F.col("_out"), F.col("_out"))
-    kept = F.filter(F.arrays_zip(parts.alias("x"), F.sequence(F.lit(0), F.size(parts) - 1).alias("i")), lambda z: ~F.map_contains_key(gone, z["i"]))
+    kept = F.filter(F.arrays_zip(parts.alias("x"), F.sequence(F.lit(0), F.size(parts) - 1).alias("i")), lambda z: ~F.array_contains("_out", z["i"]))
     text = F.when(F.size("_out") > 0, F.array_join(F.transform(kept, lambda z: z["x"]), "\n")).otherwise(F.col("text"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
