@@ -20,8 +20,8 @@ LOCAL_ROWS = 1_000_000
 
 
 def fits(df: DataFrame, most: int) -> bool:
-    """Whether a table has so many rows at most; no more than that are counted."""
-    return most > 0 and df.limit(most + 1).count() <= most
+    """Whether a written table has so many rows at most."""
+    return most > 0 and df.count() <= most
 
 
 def reach(edges: DataFrame, start: DataFrame, bound: int | None = None, timed: bool = True, scope=None, limit: int | None = None, levels: int = 10_000, local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -35,7 +35,7 @@ def reach(edges: DataFrame, start: DataFrame, bound: int | None = None, timed: b
     allowed = F.lit(True) if scope is None else scope
     if timed:
         allowed = allowed & (F.col("time").isNull() | (F.col("time") >= (bound or 0)))
-    ways = edges.select(F.col("dst").alias("node"), F.col("src").alias("_src"), *([F.col("dt").alias("_dt")] if timed else [])).distinct()
+    ways = cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("_src"), *([F.col("dt").alias("_dt")] if timed else [])).distinct())
     if fits(ways, local_rows):
         return _local_reach(ways, start, keys, bound or 0, scope, limit, levels)
     frontier = cut(start.select(*keys).where(allowed).distinct().withColumn("level", F.lit(0)))
@@ -86,6 +86,7 @@ def dynamic_slice(flow: DataFrame, coverage: DataFrame, start: DataFrame, step:
     of it is covered; its drivers are those of its covered definitions of the
     signal, each definition visited once by whichever walk comes first in
     (level, time descending) order; a clocked block looks one step earlier."""
+    flow, coverage = cut(flow), cut(coverage)
     blocks = flow.select("bid", "scope", "seq", "line", "out").distinct()
     if fits(flow, local_rows) and fits(coverage, local_rows):
         return _local_slice(flow, coverage, start, step, bound or 0)
