@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultspark.llm import work
+from faultspark.llm import arrow, work
 
 CAPACITY = 2048
 SEPARATOR = 0
-CACHED_CHUNKS = 700_000
+CACHED_CHUNKS = 400_000
 BATCH_CHARS = 1_500_000
 ROWS_PER_SALT = 200_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -134,6 +134,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names[: len(out[0])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.tidy("_faultspark_word_caches")
         cache = WordCache.of_worker(path)
         for batch in batches:
             docs, held, chars = [], [], 0
@@ -146,6 +147,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
                     docs, held, chars = [], [], 0
             if docs:
                 yield emit(docs, cache.encode(held))
+        arrow.tidy("_faultspark_word_caches")
 
     return work.bound_batches(docs).select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from faultspark.llm import work
+from faultspark.llm import arrow, work
 
 PER_LANGUAGE = 200
 SAMPLE = 4000
@@ -150,6 +150,7 @@ def predict(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFr
     names, at_text = given.columns, given.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.tidy()
         spectrum = Spectrum()
         rows = np.zeros((ROWS, len(model.grams) if model else 0), np.float32)
         for batch in batches:
@@ -174,6 +175,7 @@ def predict(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFr
                         langs[k] = model.langs[b]
                         scores[k] = min(1.0, max(0.0, (1 + float(row[b])) / 2))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
+        arrow.tidy()
 
     told = work.bound_batches(given).mapInArrow(run, schema)
     return told if carry else told.drop("text")

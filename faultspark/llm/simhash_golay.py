@@ -100,9 +100,11 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     """(doc_id, print) of whole texts, print as a signed long; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.tidy()
         for batch in batches:
             prints = np.array([fingerprint(t, words) for t in arrow.text_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+        arrow.tidy()
 
     return work.bound_batches(docs).select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, print bigint")
 
