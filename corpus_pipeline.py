@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultspark.llm import bestfit, langid_kernel, line_edit, simhash_golay, work
+from faultspark.llm import bestfit, langid_kernel, line_edit, near_sets, work
 
 MIN_SCORE = 0.2
 
@@ -39,8 +39,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group; rows without a doc_id stay."""
-    groups = simhash_golay.near_groups(docs).select(F.col("doc_id").alias("_id"), "component_id")
+    """The document of the smallest doc_id of each group of documents whose five-word
+    shingles have a Jaccard similarity of 0.8 or more; rows without a doc_id stay."""
+    groups = near_sets.near_groups(docs).select(F.col("doc_id").alias("_id"), "component_id")
     kept = groups.where(F.col("_id") == F.col("component_id")).select("_id").distinct()
     first = docs.join(kept, F.col("doc_id") == F.col("_id"), "left").where(F.col("_id").isNotNull() | F.col("doc_id").isNull())
     return first.select(*docs.columns)
