@@ -27,13 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines.
 
-    A document that lost lines goes if it has no letter left, or if it lost
-    two or more and only lines too short to be compared are left of it: that is
-    the stub of a copy."""
+    A document that lost lines goes if it has no letter left."""
     done = line_edit.dedup_lines(docs)
     lost = F.col("_n_equal") + F.col("_n_near")
-    compared = F.exists(F.split("text", "\n"), lambda x: F.char_length(F.trim(x)) >= line_edit.MIN_CHARS)
-    stays = (lost == 0) | F.col("text").rlike(r"\p{L}") & ((lost < 2) | compared)
+    stays = (lost == 0) | F.col("text").rlike(r"\p{L}")
     columns = [F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return done.where(stays).select(*columns)
 

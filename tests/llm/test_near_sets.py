@@ -50,3 +50,12 @@ def test_stage_drops_what_two_bits_miss(spark):
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
     assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], DOCS), "").count() == 0
+
+
+def test_line_dedup_keeps_what_is_left(spark):
+    import corpus_pipeline
+
+    shared = ["A passage that a good many documents have in common.", "Another passage that they all hold as well, word by word."]
+    rows = [(1, "\n".join([*shared, "A long line that nothing but the first one holds."]), "en", "s", 1), (2, "\n".join([*shared, "Own short line", "and a second"]), "en", "s", 1), (3, "\n".join(shared), "en", "s", 1)]
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert set(kept) == {1, 2} and kept[2] == "Own short line\nand a second"
