@@ -1,9 +1,9 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line of at least ``MIN_CHARS`` characters (spaces trimmed) is dropped if
-an equal line stands earlier, by doc_id and line number, anywhere in the
-corpus, or if an earlier line is within ``THRESHOLD`` = 2 edits of it. Shorter
-lines are left alone.
+A line (spaces trimmed) that isn't blank is dropped if an equal line stands
+earlier, by doc_id and line number, anywhere in the corpus, however short it
+is. A line of at least ``NEAR_CHARS`` characters is dropped also if an earlier
+line of as many is within ``THRESHOLD`` = 2 edits of it.
 
 Near lines: a line has threshold-plus-one = 3 segments, whose lengths follow
 from its length alone (a multiple of ``STEP`` below it): one at its start, one
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from faultspark.llm import work
 
-MIN_CHARS = 24
+MIN_CHARS = 1
+NEAR_CHARS = 12
 THRESHOLD = 2
 STEP = 12
 LIMIT = 48
@@ -45,7 +46,7 @@ def _lines(docs: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("body"),
         F.posexplode(F.split("text", "\n")).alias("at", "raw"),
     )
-    found = parted.select("doc", "body", "at", F.trim("raw").alias("line")).where(F.char_length("line") >= MIN_CHARS)
+    found = parted.select("doc", "body", "at", F.trim("raw").alias("line")).where((F.char_length("line") >= MIN_CHARS) & F.col("line").rlike(r"\S"))
     place = F.coalesce("doc", F.lit(LAST)).cast("decimal(38,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("at")
     return found.select("doc", "body", "at", "line", place.cast("decimal(38,0)").alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(THRESHOLD), "line").alias("g"))
 
@@ -57,7 +58,7 @@ def _part(line: Column, at: Column, size: Column) -> Column:
 
 def _keys(line: Column, moves: bool = False) -> Column:
     """Array of the keys of a line's segments; with ``moves`` of (key, moved), where
-    moved is 0 for a segment where it stands."""
+    moved is 0 for a segment where it stands. None under ``NEAR_CHARS`` characters."""
     n = F.char_length(line)
 
     def of(base: Column) -> list[Column]:
@@ -70,7 +71,8 @@ def _keys(line: Column, moves: bool = False) -> Column:
 
     base = (n - n % STEP).cast("int")
     own, below = F.array(*of(base)), F.array(*of((base - STEP).cast("int")))
-    return F.when((n % STEP < THRESHOLD) & (base - STEP >= STEP), F.concat(own, below)).otherwise(own)
+    keys = F.when((n % STEP < THRESHOLD) & (base - STEP >= STEP), F.concat(own, below)).otherwise(own)
+    return F.when(n >= NEAR_CHARS, keys).otherwise(F.slice(own, 1, 0))
 
 
 def _sketch(line: Column) -> Column:
