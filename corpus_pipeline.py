@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from faultspark.llm import bestfit, langid_kernel, line_edit, near_sets, work
 
-MIN_SCORE = 0.2
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a score of ``MIN_SCORE`` or more.
+    """Documents whose language is told with a score of the model's floor or more.
 
-    The model is learned from the documents of ``sf_dir`` that aren't held out."""
-    told = langid_kernel.predict(docs, langid_kernel.fit(work.read(spark, sf_dir, "documents")), carry=True)
-    return told.where((F.col("lang_pred") != langid_kernel.UND) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    The model and its floor are learned from the documents of ``sf_dir`` that
+    aren't held out."""
+    model = langid_kernel.fit(work.read(spark, sf_dir, "documents"), floor=True)
+    told = langid_kernel.predict(docs, model, carry=True)
+    return told.where((F.col("lang_pred") != langid_kernel.UND) & (F.col("score") >= (model.floor if model else 0.0))).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

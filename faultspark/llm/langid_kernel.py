@@ -119,11 +119,29 @@ def training(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, seed: int = SEED) -> Model | None:
+def score_floor(texts: list[str], langs: list[str]) -> float:
+    """The score under which a text is in none of the languages: halfway between 1 / L,
+    which the winner of L languages has at least, and what all but 1 % of the rightly
+    told texts have. Learned from every second text and read off the others."""
+    model = Model(texts[::2], langs[::2]) if len(set(langs[::2])) > 1 else None
+    if model is None:
+        return 0.0
+    spectrum, right = Spectrum(), []
+    for text, lang in zip(texts[1::2], langs[1::2]):
+        found = spectrum.present(text)
+        got = model.scores(np.isin(model.grams, found).astype(np.float32)[None], np.array([len(found)]))[0]
+        if model.langs[int(got.argmax())] == lang:
+            right.append(min(1.0, (1 + float(got.max())) / 2))
+    chance = 1 / len(model.langs)
+    return (chance + max(chance, float(np.quantile(right, 0.01)))) / 2 if right else 0.0
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, seed: int = SEED, floor: bool = False) -> Model | None:
     """A model of a bounded sample; None without rows to learn from.
 
     Rows of a language are taken by hash, at a rate that its count sets, so
-    that a rare language has as many as a common one."""
+    that a rare language has as many as a common one. With ``floor`` the model
+    has the ``score_floor`` of its sample as ``floor``."""
     rows = training(docs.select("doc_id", "text", "lang"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
     if not counts:
@@ -133,7 +151,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE,
     drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(2**31))
     taken = rows.join(F.broadcast(rates), F.col("lang") == F.col("of")).where(drawn < F.col("below")).select("text", "lang").limit(sample).collect()
     taken.sort()
-    return Model([r[0] for r in taken], [r[1] for r in taken]) if taken else None
+    model = Model([r[0] for r in taken], [r[1] for r in taken]) if taken else None
+    if model and floor:
+        model.floor = score_floor([r[0] for r in taken], [r[1] for r in taken])
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFrame:
