@@ -15,9 +15,9 @@ def grams(text):
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
 
 
-@pytest.mark.parametrize("limit", [1, 3, 64])
-def test_groups_equal_brute_force(spark, limit):
-    rng = random.Random(limit)
+@pytest.mark.parametrize("seed", [1, 3, 64])
+def test_groups_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
     words = [f"w{k}" for k in range(300)]
     texts = [" ".join(rng.choices(words, k=rng.randint(3, 120))) for _ in range(15)]
     for _ in range(130):
@@ -37,7 +37,7 @@ def test_groups_equal_brute_force(spark, limit):
             x, y = sorted((find(i), find(j)))
             root[y] = x
     table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1)], DOCS)
-    assert {r.doc_id: r.component_id for r in near_sets.near_groups(table, limit).collect()} == {i: find(i) for i in range(len(texts))}
+    assert {r.doc_id: r.component_id for r in near_sets.near_groups(table).collect()} == {i: find(i) for i in range(len(texts))}
 
 
 def test_stage_drops_what_two_bits_miss(spark):
