@@ -318,6 +318,16 @@ def nav_first_wins(spark, sf_dir):
     return evaluate.first_wins(both.join(clear, "signal", "left_semi"), ["signal"], ["seq"]).select("signal", "bid")
 
 
+@query("nav_first_wins_ties", "SELECT signal, bid FROM (SELECT l_suppkey AS signal, l_partkey AS bid, l_orderkey * 100 + l_linenumber * 10 AS seq FROM lineitem UNION ALL SELECT l_partkey + 1000000, l_partkey, l_orderkey * 100 + l_linenumber * 10 + 1 FROM lineitem) QUALIFY row_number() OVER (PARTITION BY signal ORDER BY seq, bid) = 1")
+def nav_first_wins_ties(spark, sf_dir):
+    """``nav_first_wins`` of every signal; the smaller bid wins a tie."""
+    seq = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10
+    rows = fx.load(spark, sf_dir, "lineitem")
+    drivers = rows.select(F.col("l_suppkey").alias("signal"), F.col("l_partkey").alias("bid"), seq.alias("seq"))
+    own = rows.select((F.col("l_partkey") + 1000000).alias("signal"), F.col("l_partkey").alias("bid"), (seq + 1).alias("seq"))
+    return evaluate.first_wins(drivers.unionByName(own), ["signal"], ["seq", "bid"]).select("signal", "bid")
+
+
 # Logs
 
 
