@@ -212,6 +212,12 @@ def block_merge_components(spark, sf_dir):
     return slicing.merge_components(blocks.heavy_pairs(fx.load(spark, sf_dir, "lineitem"), 49))
 
 
+@query("block_merge_components_all")
+def block_merge_components_all(spark, sf_dir):
+    """All links, whatever their quantity; no SQL, as the recursive walk of all pairs is too slow."""
+    return slicing.merge_components(blocks.heavy_pairs(fx.load(spark, sf_dir, "lineitem"), 0))
+
+
 # Slices
 
 EDGES = fx.with_sql("edges")
@@ -235,6 +241,27 @@ def slice_scope_limited(spark, sf_dir):
     return slicing.reach(fx.edges(spark, sf_dir), start, timed=False, scope=F.col("node") % 2 == 0).select("node")
 
 
+def _all_starts(spark, sf_dir):
+    return fx.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+
+
+@query("slice_static_all")
+def slice_static_all(spark, sf_dir):
+    return slicing.reach(fx.edges(spark, sf_dir), _all_starts(spark, sf_dir), timed=False).select("node")
+
+
+@query("slice_timed_all")
+def slice_timed_all(spark, sf_dir):
+    """From all parts at time 4, down to time 0."""
+    start = _all_starts(spark, sf_dir).withColumn("time", F.lit(4).cast("bigint"))
+    return slicing.reach(fx.edges(spark, sf_dir), start, bound=0).select("node", "time")
+
+
+@query("slice_scope_limited_all")
+def slice_scope_limited_all(spark, sf_dir):
+    return slicing.reach(fx.edges(spark, sf_dir), _all_starts(spark, sf_dir), timed=False, scope=F.col("node") % 2 == 0).select("node")
+
+
 @query("slice_limit")
 def slice_limit(spark, sf_dir):
     start = fx.load(spark, sf_dir, "part").where("p_partkey % 500 = 7").select(F.col("p_partkey").alias("node"))
