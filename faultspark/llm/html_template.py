@@ -9,7 +9,9 @@ scripts) go too. What is left of the article, or of the body if a page marks
 none, is the text.
 
 An article, what holds it, and its paragraphs, headings and lists are never
-taken for a template, nor are copies of a whole page: they count once.
+taken for a template, nor are copies of a whole page: they count once. On a page
+without an article paragraphs, headings, lists and tables may be templates, but
+not the inline elements in them.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from faultspark.llm import arrow, work
 
 MIN_PAGES = 5
 SHARE = 0.3
+MANY = 20
 BROADCAST_ROWS = 500_000
 BATCH_BYTES = 1 << 22
 
@@ -160,7 +163,7 @@ class Page:
 
     def candidates(self) -> list[tuple[int, bytes]]:
         """Elements that may be a template, with their digests."""
-        return [(k, self.digest[k]) for k in range(1, len(self.tag)) if k not in self.holds and self.tag[k] not in ("html", "body", "head") and not (self.tag[k] in KEPT and (self.article[k] >= 0 or not self.roots))]
+        return [(k, self.digest[k]) for k in range(1, len(self.tag)) if k not in self.holds and self.tag[k] not in ("html", "body", "head") and not (self.tag[k] in KEPT and (self.article[k] >= 0 or not self.roots and self.tag[k] in INLINE))]
 
     def text(self, templates) -> str:
         """Blocks of the main text; templates tells of a digest whether it is one."""
@@ -218,11 +221,11 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """Keys of subtrees on at least ``min_pages`` different pages of their host and
-    at least a ``share`` of them."""
+    at least a ``share`` of them, or on ``MANY`` whatever the host's size."""
     found = work.cut(subtrees(pages).distinct(), "subtrees")
     sites = found.select("site", "body").distinct().groupBy(F.col("site").alias("of")).agg(F.count("*").alias("pages"))
     often = found.groupBy("site", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return often.join(sites, F.col("site") == F.col("of")).where(F.col("n") >= share * F.col("pages")).select("key")
+    return often.join(sites, F.col("site") == F.col("of")).where(F.col("n") >= F.least(share * F.col("pages"), F.lit(MANY))).select("key")
 
 
 def _render(rows: DataFrame, known: set[int] | None) -> DataFrame:
