@@ -6,6 +6,7 @@ import ctypes
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 
@@ -25,3 +26,10 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of an Arrow string column, row by row; null is empty."""
     for value in column.cast(pa.large_binary()):
         yield value.as_py() or b""
+
+
+def gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that start at ``begins``, one after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(begins - (ends - sizes), sizes)]

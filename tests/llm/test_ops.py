@@ -250,19 +250,47 @@ def test_packing(spark):
     assert bestfit.pack_documents(docs(spark, [])).count() == 0
 
 
-def test_sweep_is_best_fit_decreasing():
-    rng = random.Random(9)
-    lengths = sorted((rng.randint(1, 100) for _ in range(800)), reverse=True)
-    gaps: list[int] = []
-    for n in lengths:
-        fits = [g for g in gaps if g >= n]
-        if fits:
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        if fits := [g for g in gaps if g >= n]:
             gaps.remove(min(fits))
             gaps.append(min(fits) - n)
         else:
-            gaps.append(100 - n)
-    rows = bestfit.sweep({n: lengths.count(n) for n in set(lengths)}, 100)
-    assert max(r[3] + -(-(r[2] - r[1]) // r[4]) for r in rows) == len(gaps)
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("low, high, many", [(1, 100, 800), (30, 45, 400), (100, 100, 7), (1, 3, 500), (34, 60, 300)])
+def test_supersteps_place_all_ranks_as_well_as_best_fit(spark, low, high, many):
+    rng = random.Random(9)
+    lengths = [rng.randint(low, high) for _ in range(many)]
+    pieces = spark.createDataFrame([(k % 50, k, n) for k, n in enumerate(lengths)], "doc_id bigint, piece int, length bigint")
+    out = bestfit.pack(pieces, 100).toPandas()
+    assert sorted(out.piece) == list(range(many)) and sorted(out.length) == sorted(lengths)
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == np.concatenate([[0], np.cumsum(s.length)[:-1]]).tolist() and s.length.sum() <= 100
+    assert out.sequence_id.nunique() <= best_fit_decreasing(lengths, 100) * 1.01 + 0.5
+
+
+def test_sweep_takes_the_least_gap_by_rank():
+    matches, left, gaps, after = bestfit.sweep([(40, 0, 3), (30, 5, 1), (90, 0, 1)], [(50, 7, 1), (85, 3, 1), (35, 9, 1)], 100)
+    assert matches == [(40, 0, 1, 7, 1, 50), (40, 1, 3, 3, 2, 15), (30, 5, 6, 9, 1, 65)]
+    assert left == [(90, 0, 1)] and gaps == [] and sorted(after) == [(5, 3, 1), (5, 9, 1), (10, 7, 1)]
+
+
+@pytest.mark.parametrize("most", [0, 5, 1000])
+def test_chunk_table_equals_the_tokenizer(most):
+    import pyarrow as pa
+
+    cache = bestfit.WordCache(bestfit.default_tokenizer(), most)
+    rng = random.Random(1)
+    signs = "aB é.,|'s1 2\n\t\xa0ñÀß²_-<日本\u0301 K·"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", "<|endoftext|> x", "a|b | c", "don't. it's, I'LL", "\u0301a \u0301"]
+    for part in (texts, texts[::-1], texts[:50]):
+        ids, ends = cache.encode(pa.array(part))
+        for text, begin, end in zip(part, [0, *ends], ends):
+            assert ids[begin:end].tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def edits(a, b):
