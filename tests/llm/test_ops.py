@@ -237,6 +237,23 @@ def test_neighbours(spark):
     assert srs_ann.nearest(table.limit(0)).count() == 0 and srs_ann.nearest(table.where("vec_id = 0")).count() == 0
 
 
+@pytest.mark.parametrize("part, block", [(16_384, 4096), (150, 3)])
+def test_neighbours_of_repeated_rows_and_split_cells(spark, monkeypatch, part, block):
+    monkeypatch.setattr(srs_ann, "PART", part)
+    monkeypatch.setattr(srs_ann, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)]
+    rows += [rows[0], rows[0], rows[7], (100, [9.0] * 8), *((200, [0.1 * k, *rows[200][1][1:]]) for k in range(30))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = srs_ann.nearest(table, every=20, sure=0.9999).toPandas()
+    x = {i: [np.array(v) for j, v in {(j, tuple(v)) for j, v in rows} if j == i] for i, _ in rows}
+    for q, got in out.sort_values("rank").groupby("query_id"):
+        assert got["rank"].tolist() == list(range(1, 11)) and q not in set(got.vec_id)
+        wants = [sorted((float(np.sqrt(((v - own) ** 2).sum())), i) for i, vs in x.items() if i != q for v in vs)[:10] for own in x[q]]
+        assert any([w[1] for w in want] == got.vec_id.tolist() and np.allclose([w[0] for w in want], got.score) for want in wants)
+    assert set(out.query_id) == {i for i, _ in rows if i % 20 == 0}
+
+
 def test_packing(spark):
     out = bestfit.pack_documents(docs(spark, EDGE), keep_ids=True).toPandas()
     from tokenizers import Tokenizer
