@@ -5,8 +5,11 @@ that may be a template is hashed; Spark counts, for each host, on how many
 different pages a subtree occurs, and subtrees that recur on many pages of
 their host are deleted. Elements that say what they are by tag, role, class or
 id (menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts) go too. What is left of the article, or of the body if a page marks
-none, is the text.
+scripts) go too. A class says so if it is made of such words and of words for
+place and shape only (main-nav, left-sidebar; but not has-sidebar, entry-header,
+notice-board). Where every article stands in an element so named, that
+element stays. What is left of the article, or of the body if a page marks none,
+is the text. Parsing takes a time in proportion to the page, however broken.
 
 An article, what holds it, and its paragraphs, headings and lists are never
 taken for a template, nor are copies of a whole page: they count once. On a page
@@ -36,49 +39,73 @@ BATCH_BYTES = 1 << 22
 # Names of the HTML standard, and words that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var td th wbr img".split())
-GONE = frozenset("nav footer aside form script style noscript template iframe object button select textarea svg canvas dialog menu head title audio video map input option fieldset".split())
+GONE = frozenset("nav footer aside script style noscript template iframe object button select textarea svg canvas dialog menu head title audio video map input option fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead header footer "
-    "comment comments commentlist disqus reply replies respond discussion share sharing social related recommended login search toolbar pagination pager skip".split()
+    "share sharing social related recommended login search toolbar pagination pager skip".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+SHAPES = frozenset(
+    "site main page global top bottom left right upper lower box block slot unit area container wrapper wrap inner outer bar list links link buttons button "
+    "section panel row col column item items icons icon posts articles stories primary secondary mobile desktop sticky fixed text message".split()
 )
 KEPT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table tbody thead tr td th figure figcaption".split()) | INLINE
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset("ul ol dl table article main section div body td th blockquote".split())
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>
-    |<(?P<raw>script|style|textarea|title|xmp|noembed|noframes)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)
-    |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)
+    |<(?P<raw>script|style|textarea|title|xmp|noembed|noframes)\b(?:[^<>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)
+    |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>"']{0,63})(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*+)>""",
     re.S | re.I | re.X,
 )
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NUMBER = re.compile(r"&#(?:([xX])0*([0-9a-fA-F]+)|0*([0-9]+))")
+DEPTH = 512
+
+
+def unescape(raw: str) -> str:
+    """``raw`` with its character references decoded, numbers of any length included."""
+    if "&#" in raw:
+        raw = NUMBER.sub(lambda m: f"&#{m[1] or ''}{m[2] or m[3]}" if len(m[2] or m[3]) <= 8 else "&#xFFFD", raw)
+    return html.unescape(raw)
+
+
+def furniture(name: str, words: frozenset[str]) -> bool:
+    """Whether a class is one of the words, beside words for place and shape."""
+    found = {w.lower() for w in PARTS.findall(name)}
+    return not words.isdisjoint(found) and found <= words | WORDS | SHAPES
 
 
 class Page:
     """Elements and text segments of one page.
 
     Element k has tag[k], parent[k], gone[k] (by what it says of itself),
-    article[k] (the article or main that it is or is in, or -1), digest[k].
-    A segment is (element, block, text)."""
+    soft[k] (by its class, or as a form or header), article[k] (the article or
+    main that it is or is in, or -1), digest[k]. A segment is (element, block,
+    text). Elements nested deeper than ``DEPTH`` are read as their parent's."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.gone, self.article, self.digest = ["#"], [-1], [False], [-1], [b""]
+        self.tag, self.parent, self.gone, self.soft, self.article, self.digest = ["#"], [-1], [False], [False], [-1], [b""]
         self.segments: list[tuple[int, int, str]] = []
         parts: list[list[bytes]] = [[]]
         stack, block, at = [0], 0, 0
+        opened: dict[str, int] = {}
+        deeper: dict[str, int] = {}
 
         def close() -> None:
             k = stack.pop()
+            opened[self.tag[k]] -= 1
             self.digest[k] = xxhash.xxh64_digest(b"\0".join(parts[k]))
             parts[stack[-1]].append(self.digest[k])
             parts[k] = []
 
         def text(raw: str) -> None:
             if raw and not raw.isspace():
-                self.segments.append((stack[-1], block, html.unescape(raw)))
+                self.segments.append((stack[-1], block, unescape(raw)))
                 parts[stack[-1]].append(" ".join(raw.split()).encode("utf-8", "replace"))
             elif raw:
                 self.segments.append((stack[-1], block, " "))
@@ -98,39 +125,50 @@ class Page:
             elif tag not in INLINE:
                 block += 1
             if m["end"]:
-                if any(self.tag[k] == tag for k in stack):
+                if deeper.get(tag):
+                    deeper[tag] -= 1
+                elif opened.get(tag):
                     while self.tag[stack[-1]] != tag:
                         close()
                     close()
                 continue
-            if tag not in INLINE and tag not in VOID:
+            if tag not in INLINE and tag not in VOID and any(opened.get(t) for t in ("p", *CLOSES.get(tag, ()))):
                 self._imply(stack, tag, close)
             if tag in VOID:
                 continue
             k, up = len(self.tag), stack[-1]
-            gone, article, name = self._look(tag, m["attrs"], up)
+            if len(stack) > DEPTH:
+                deeper[tag] = deeper.get(tag, 0) + 1
+                continue
+            gone, soft, article, name = self._look(tag, m["attrs"], up)
             self.tag.append(tag)
             self.parent.append(up)
             self.gone.append(gone)
+            self.soft.append(soft)
             self.article.append(k if article and self.article[up] < 0 else self.article[up])
             self.digest.append(b"")
             parts.append([name.encode("utf-8", "replace")])
             stack.append(k)
+            opened[tag] = opened.get(tag, 0) + 1
         text(source[at:])
         while len(stack) > 1:
             close()
+        within = [False] * len(self.tag)
         for k in range(1, len(self.tag)):
-            if self.gone[self.parent[k]]:
-                self.gone[k] = True
-        articles = {self.article[k] for k in range(len(self.tag)) if self.article[k] >= 0 and not self.gone[self.article[k]]}
-        if any(self.tag[a] == "article" for a in articles):
-            articles = {a for a in articles if self.tag[a] == "article" or any(self.article[k] == a and self.tag[k] == "article" for k in range(a, len(self.tag)))}
-        self.roots = articles
+            up = self.parent[k]
+            self.gone[k] = self.gone[k] or self.gone[up]
+            within[k] = within[up] or self.soft[up]
+        articles = {a for a in self.article if a >= 0 and not self.gone[a]}
+        real = {self.article[k] for k, tag in enumerate(self.tag) if tag == "article" and not self.gone[k]} & articles
+        articles = real or articles
+        self.roots = {a for a in articles if not (within[a] or self.soft[a])} or articles
         self.holds: set[int] = set()
-        for a in articles:
+        for a in self.roots:
             while a >= 0 and a not in self.holds:
                 self.holds.add(a)
                 a = self.parent[a]
+        for k in range(1, len(self.tag)):
+            self.gone[k] = self.gone[k] or self.gone[self.parent[k]] or self.soft[k] and k not in self.holds
 
     def _imply(self, stack: list[int], tag: str, close) -> None:
         """End what a start tag ends: an open p, or the like of it in its list or table."""
@@ -143,23 +181,24 @@ class Page:
             if open_tag in HOLDS:
                 return
 
-    def _look(self, tag: str, attrs: str, up: int) -> tuple[bool, bool, str]:
-        name, words, article = tag, set(), tag in ("article", "main")
-        gone = tag in GONE or tag == "header" and self.article[up] < 0
+    def _look(self, tag: str, attrs: str, up: int) -> tuple[bool, bool, bool, str]:
+        name, named, article = tag, [], tag in ("article", "main")
+        gone, soft = tag in GONE, tag == "form" or tag == "header" and self.article[up] < 0
         for m in ATTR.finditer(attrs) if attrs else ():
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key in ("class", "id"):
                 name += f" {key}={value}"
-                words.update(w.lower() for w in PARTS.findall(value))
+                named += value.split()
             elif key == "role":
                 gone, article = gone or value.lower() in ROLES, article or value.lower() in ("main", "article")
             elif key == "itemprop":
                 article = article or value.lower() == "articlebody"
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 gone = True
-        if tag not in ("html", "body") and not (tag in ("article", "main", "header") and not gone) and not WORDS.isdisjoint(words):
-            gone = True
-        return gone, article and not gone, name
+        if tag not in ("html", "body", "main"):
+            gone = gone or any(furniture(n, COMMENTS) for n in named)
+            soft = soft or tag not in ("article", "header") and any(furniture(n, WORDS) for n in named)
+        return gone, soft, article and not gone, name
 
     def candidates(self) -> list[tuple[int, bytes]]:
         """Elements that may be a template, with their digests."""
