@@ -8,7 +8,12 @@ behind a record of 16 MB and more), which serves as the writer's separator.
 The reader deals byte ranges of the files to tasks. A task looks for the gzip
 magic in its range, takes a place for a member if it decodes to a WARC header,
 and owns the records whose members start inside; it reads on past its end for
-the last one.
+the last one. From a file's start, and from a range's first member on, each
+member must begin where the one before it ended: a place where none does, one
+that doesn't decode to its end, and a record that isn't what its header declares
+are damage, which raises an error or is given as a row. (A range that begins
+within a payload which itself holds gzip members of WARC records, stored as they
+are, takes these for a chain that breaks off, and is reported, too.)
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ MIN_PAYLOAD = 0
 BROADCAST_ROWS = 500_000
 LEVEL = 4
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+PIECE = 1 << 14
+HEAD_BYTES = 1 << 16
 RECORDS = "path string, offset bigint, record_type string, record_id string, target_uri string, refers_to string, payload_bytes bigint, payload_digest string, payload binary"
 
 
@@ -71,53 +78,88 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """A record's named fields and its block."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = _fields(head)
-    return fields, rest[: int(fields.get("content-length", 0))]
-
-
-def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """Offsets and contents of members that start in [start, end) and hold a WARC record."""
-    file.seek(start)
-    base, held, at, done = start, b"", 0, False
-
-    def more() -> bool:
-        nonlocal held, done
-        got = b"" if done else file.read(READ_BYTES)
-        done = not got
-        held += got
-        return not done
-
-    while True:
-        found = held.find(MAGIC, at)
-        if found < 0:
-            keep = max(at, len(held) - 2)
-            base, held, at = base + keep, held[keep:], 0
-            if base >= end or not more():
-                return
-            continue
-        if base + found >= end:
-            return
-        base, held, at = base + found, held[found:], 0
-        reader, out, fed, good = zlib.decompressobj(31), [], 0, None
-        while good is None:
+    size = fields.get("content-length", "")
+    return fields, rest[: int(size)] if size.isdecimal() and len(size) < 19 else b""
+
+
+class Archive:
+    """Members of a gzip file by their places."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.base, self.held = file, size, 0, b""
+
+    def view(self, at: int) -> memoryview:
+        """Some bytes from ``at`` on, none at the end of the file."""
+        if not self.base <= at < self.base + len(self.held):
+            self.file.seek(at)
+            self.base, self.held = at, self.file.read(READ_BYTES)
+        return memoryview(self.held)[at - self.base : at - self.base + PIECE]
+
+    def find(self, at: int, end: int) -> int:
+        """The next place of the magic in [at, end), or -1."""
+        while at < end:
+            self.view(at)
+            found = self.held.find(MAGIC, at - self.base)
+            if found >= 0:
+                return self.base + found if self.base + found < end else -1
+            after = self.base + len(self.held)
+            if after >= self.size:
+                return -1
+            at = max(at + 1, after - len(MAGIC) + 1)
+            self.base, self.held = 0, b""
+        return -1
+
+    def member(self, at: int) -> tuple[str, bytes, int]:
+        """What begins at ``at``: a "record" with its bytes and end, an "empty" member,
+        a "broken" record, whose header decodes and whose rest doesn't, or "none"."""
+        reader, out, place, headed, head = zlib.decompressobj(31), [], at, False, b""
+        while not reader.eof:
+            chunk = self.view(place)
+            place += len(chunk)
             try:
-                part = reader.decompress(held[fed:])
+                while not headed and (len(chunk) or reader.unconsumed_tail) and not reader.eof:
+                    part = reader.decompress(chunk, PIECE)
+                    chunk = reader.unconsumed_tail
+                    out.append(part)
+                    head += part
+                    headed = b"\r\n\r\n" in head
+                    if not head.startswith(b"WARC/"[: len(head)]) or len(head) > HEAD_BYTES and not headed or not part and not len(chunk):
+                        break
+                if head and not head.startswith(b"WARC/"[: len(head)]) or len(head) > HEAD_BYTES and not headed:
+                    return "none", b"", at
+                if headed and len(chunk):
+                    out.append(reader.decompress(chunk))
             except zlib.error:
-                good = False
-                break
-            fed = len(held)
-            out.append(part)
-            head = out[0] if len(out[0]) >= 5 else b"".join(out)
-            if len(head) >= 5 and not head.startswith(b"WARC/"):
-                good = False
-            elif reader.eof:
-                good = len(head) >= 5
-            elif not more():
-                good = False
-        if good:
-            yield base, b"".join(out)
-            at = fed - len(reader.unused_data)
-        else:
-            at = 1
+                return "broken" if headed else "none", b"", at
+            if not reader.eof and place >= self.size:
+                return "broken" if headed else "none", b"", at
+        end = place - len(reader.unused_data)
+        if headed and b"warc-type:" in head.partition(b"\r\n\r\n")[0].lower():
+            return "record", b"".join(out), end
+        return "none" if head else "empty", b"", end
+
+    def members(self, start: int, end: int) -> Iterator[tuple[int, bytes | None]]:
+        """Places and bytes of the records that start in [start, end); None for damage.
+
+        What should follow the last of them, behind ``end``, is looked at too."""
+        at, chained = start, start == 0
+        while at < end:
+            if not chained:
+                at = self.find(at, end)
+                if at < 0:
+                    return
+            kind, data, after = self.member(at)
+            if kind == "record":
+                yield at, data
+            elif kind == "broken" or kind == "none" and chained:
+                yield at, None
+            chained = kind == "record" or kind == "empty" and chained
+            at = after if kind in ("record", "empty") else at + 1
+        while chained and at < self.size:
+            kind, _, at = self.member(at)
+            if kind == "none":
+                yield at, None
+            chained = kind == "empty"
 
 
 def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
@@ -126,45 +168,53 @@ def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return sorted((f.getPath().toString(), f.getLen()) for f in found if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "_.")
 
 
-def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, payloads: bool = True, damaged: str = "raise") -> DataFrame:
     """Records of the archives of a folder, one row each.
 
     The payload of a response is its block behind the HTTP head, that of a
     revisit is null; payload_bytes and payload_digest are of the full payload
     for both: the response's are computed, the revisit's are as declared.
-    A response whose payload does not have the declared digest is an error.
+    A damaged member, and a record that is not as long as its header says or
+    whose payload doesn't have the declared digest, raises an error, or with
+    ``damaged="keep"`` gives a row of record_type "damaged" with its place.
     Paths are read by pyarrow's file systems, in ranges of ``split_bytes``."""
-    ranges = [(p, a, min(a + split_bytes, n)) for p, n in _files(spark, path) for a in range(0, n, split_bytes)]
+    ranges = [(p, a, min(a + split_bytes, n), n) for p, n in _files(spark, path) for a in range(0, n, split_bytes)]
     names = [c.split()[0] for c in RECORDS.split(", ")]
     kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
 
-    def rows(place: str, start: int, end: int) -> Iterator[tuple]:
+    def lost(place: str, offset: int) -> tuple:
+        if damaged != "keep":
+            raise ValueError(f"{place} is damaged at byte {offset}")
+        return (place, offset, "damaged", *[None] * 6)
+
+    def rows(place: str, start: int, end: int, size: int) -> Iterator[tuple]:
         from pyarrow.fs import FileSystem
 
         # Hadoop writes file:/a where a URI would be file:///a.
         system, inner = FileSystem.from_uri("file://" + place[5:] if place.startswith("file:/") and not place.startswith("file://") else place)
         with system.open_input_file(inner) as file:
-            for offset, data in members(file, start, end):
-                fields, block = parse(data)
+            for offset, data in Archive(file, size).members(start, end):
+                fields, block = parse(data or b"")
+                declared = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                kind, whole = fields.get("warc-type"), data is not None and fields.get("content-length") == str(len(block))
                 head, _, payload = block.partition(b"\r\n\r\n")
-                kind, declared = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
                 http = _fields(head)
                 if kind == "response":
-                    size, digest = len(payload), digest32(payload)
-                    if declared and declared != digest:
-                        raise ValueError(f"payload of {fields.get('warc-record-id')} is damaged")
+                    long, digest = len(payload), digest32(payload)
+                    whole = whole and declared in (None, digest)
                 else:
-                    size, digest, payload = int(http.get("content-length", 0)), declared, None
-                yield place, offset, kind, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), size, digest, payload if payloads else None
+                    said = http.get("content-length", "0")
+                    long, digest, payload = int(said) if said.isdecimal() else None, declared, None
+                yield (place, offset, kind, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), long, digest, payload if payloads else None) if whole else lost(place, offset)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(held: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
         for batch in batches:
-            for place, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+            for place, start, end, long in zip(*(c.to_pylist() for c in batch.columns)):
                 held, size = [], 0
-                for row in rows(place, start, end):
+                for row in rows(place, start, end, long):
                     held.append(row)
                     size += 200 + len(row[-1] or b"")
                     if size > READ_BYTES:
@@ -173,7 +223,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, pa
                 if held:
                     yield emit(held)
 
-    tasks = spark.createDataFrame(ranges, "path string, start bigint, end bigint").repartition(max(1, len(ranges)))
+    tasks = spark.createDataFrame(ranges, "path string, start bigint, end bigint, size bigint").repartition(max(1, len(ranges)))
     return tasks.mapInArrow(run, RECORDS)
 
 
