@@ -28,7 +28,34 @@ def test_spm_matches_library_without_dropout():
     path = spm_dropout.default_model()
     library, own = sentencepiece.SentencePieceProcessor(model_file=path), spm_dropout.Pieces(path, 0.0)
     for text in ["", "Hello, world.", "  two  spaces\n\n x", "日本語 テスト", "naïve, façade. 12,345", "\t\ttabs", "a.b,c. ,", "trailing  "]:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text)
+        assert own.encode(text).tolist() == library.encode(text)
+
+
+@pytest.mark.parametrize("rate, nodes", [(0.0, 1000), (0.1, 20), (0.1, 10**6), (0.6, 10**6), (1.0, 1000)])
+def test_spm_batches_equal_one_agenda_each(monkeypatch, rate, nodes):
+    monkeypatch.setattr(spm_dropout, "NODES", nodes)
+    monkeypatch.setattr(spm_dropout, "WALKED", 50)
+    pieces = spm_dropout.Pieces(spm_dropout.default_model(), rate)
+    rng = random.Random(5)
+    words = ["the", "internationalization", "unbelievable,", "a.b", "naïve", "日本語", "x" * 40, "  ", "\n", "ab▁c", "12,345.6", "counterrevolutionaries"]
+    texts = ["", " ", *(" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(12))]
+    keys = [rng.getrandbits(64) for _ in texts]
+    for _ in range(2):
+        ids, ends = pieces.encode_all(texts, keys)
+        for text, key, begin, end in zip(texts, keys, [0, *ends], ends):
+            chunks = pieces.chunks(" " + text) if text else []
+            own = [spm_dropout.mixed(key ^ (k + 1) * spm_dropout.MIX & spm_dropout.MASK) for k in range(len(chunks))]
+            assert ids[begin:end].tolist() == [i for c, k in zip(chunks, own) for i in pieces.segment(c, k)]
+
+
+def test_spm_every_occurrence_draws_for_itself():
+    pieces = spm_dropout.Pieces(spm_dropout.default_model(), 0.1)
+    ids, ends = pieces.encode_all([" ".join(["of"] * 20_000), " ".join(["information"] * 20_000)], [1, 2])
+    whole = pieces.ranks[" of"][1]
+    merges = 20_000 - np.count_nonzero(ids[: ends[0]] == whole)
+    assert 0.09 < merges / 20_000 < 0.3  # each of its merges is skipped in a tenth of its places
+    kinds = {tuple(pieces.segment(" information", spm_dropout.mixed(2 ^ (k + 1) * spm_dropout.MIX & spm_dropout.MASK))) for k in range(3000)}
+    assert len(kinds) > 50
 
 
 def test_spm_dropout_varies_and_is_lossless(spark):
@@ -37,22 +64,22 @@ def test_spm_dropout_varies_and_is_lossless(spark):
     texts = spm_dropout.decode(spark.createDataFrame([(r.doc_id, r.ids) for r in out], "doc_id bigint, ids array<int>")).collect()
     assert sorted(r.text for r in texts) == sorted(t or "" for _, t in EDGE)
     path, text = spm_dropout.default_model(), "unbelievable internationalization of tokenization " * 20
-    first, again = (spm_dropout.Pieces(path, 0.3, 5).encode(text, 1) for _ in range(2))
-    assert first == again != spm_dropout.Pieces(path, 0.3, 6).encode(text, 1)
+    first, again = (spm_dropout.Pieces(path, 0.3).encode(text, spm_dropout.doc_key(5, 1)) for _ in range(2))
+    assert first.tolist() == again.tolist() != spm_dropout.Pieces(path, 0.3).encode(text, spm_dropout.doc_key(6, 1)).tolist()
     assert len(first) > len(spm_dropout.Pieces(path, 0.0).encode(text))
     assert spm_dropout.encode(docs(spark, [])).count() == 0
 
 
 def test_telephony(spark):
-    out = telephony.store(docs(spark, EDGE)).collect()
-    assert len(out) == len(EDGE)
+    stored = telephony.store(docs(spark, EDGE))
+    out = stored.collect()
+    assert sorted(r.n_bytes for r in out) == sorted(len((t or "").encode()) for _, t in EDGE)
     for r in out:
-        codec, rate, payload = telephony.read_wav(r.media)
-        assert (codec, rate, len(payload)) == ("mulaw", 8000, r.payload_bytes) and r.payload_bytes % 64 == 0 < r.payload_bytes
-        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
-        assert len(r.pcm) == 4 * r.payload_bytes
-    assert {r.feature for r in out if r.doc_id in (4, 5)} == {next(r.feature for r in out if r.doc_id == 4)}
-    assert telephony.store(docs(spark, [])).count() == 0
+        codec, rate, payload, unit = telephony.read_wav(r.media)
+        assert (codec, rate, unit) == ("mulaw", 8000, 1) and len(payload) % 64 == 0 < len(payload) and telephony.read_pcm(r.pcm) == telephony.decode(r.media) and len(r.pcm) == 4 * len(payload)
+    told = telephony.features(stored).collect()
+    assert len(told) == len(EDGE) and {r.feature for r in told if r.doc_id in (4, 5)} == {next(r.feature for r in told if r.doc_id == 4)}
+    assert telephony.features(telephony.store(docs(spark, []))).count() == 0
 
 
 def test_telephony_codecs():
@@ -76,8 +103,39 @@ def test_telephony_codecs():
     assert telephony.decode_adpcm(blocks).tolist() == [one(b) for b in blocks]
     pcm = np.array([0, 100, -100], np.int16)
     assert telephony.resample(pcm, 8000, 16000).tolist() == [0, 50, 100, 0, -100, -100]
+    for n in (0, 1, 2, 3, 10, 11):
+        wild = rng.integers(-32768, 32768, n).astype("<i2").tobytes()
+        assert telephony.read_pcm(telephony.pack_pcm(wild)) == wild
     for codec in ("mulaw", "alaw", "ima_adpcm"):
         assert telephony.read_wav(telephony.wav_bytes(bytes(128), codec))[2] == bytes(128)
+    for unit in (36, 256):
+        data = rng.integers(0, 256, 3 * unit + 20, np.uint8)
+        want = [x for k in range(0, len(data), unit) for x in one(data[k : k + unit])]
+        assert np.frombuffer(telephony.decode(telephony.wav_bytes(data.tobytes(), "ima_adpcm", 8000, unit), 8000), "<i2").tolist() == want
+    with pytest.raises(ValueError, match="format 1"):
+        telephony.read_wav(telephony.wav_bytes(bytes(64)).replace(b"\x07\x00\x01\x00", b"\x01\x00\x01\x00", 1))
+    with pytest.raises(ValueError, match="2 channels"):
+        telephony.read_wav(telephony.wav_bytes(bytes(64)).replace(b"\x07\x00\x01\x00", b"\x07\x00\x02\x00", 1))
+
+
+def test_telephony_query_equals_brute_force(spark, tmp_path):
+    docs(spark, EDGE).write.parquet(f"{tmp_path}/documents.parquet")
+    out = telephony.op2_telephony(spark, str(tmp_path)).collect()
+    assert len(out) == len(EDGE)
+    of = {}
+    for i, text in EDGE:
+        data = (text or "").encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        mulaw, alaw = ([int(t[b]) for b in payload] for t in (telephony.mulaw_table(), telephony.alaw_table()))
+        high = [x for a, b in zip(mulaw, [*mulaw[1:], mulaw[-1]]) for x in (a, a + b >> 1)]
+        adpcm = telephony.decode_adpcm(np.frombuffer(payload, np.uint8).reshape(-1, 64)).ravel().tolist()
+        rms = [int((sum(x * x for x in y) / len(y)) ** 0.5) for y in (mulaw, alaw, adpcm)]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(mulaw, mulaw[1:]))
+        crc = zlib.crc32(np.asarray(high, "<i2").tobytes())
+        media = telephony.wav_bytes(payload)
+        feature = f"mulaw_rms={rms[0]};crossings={crossings};alaw_rms={rms[1]};adpcm_rms={rms[2]};pcm_samples={len(high)};pcm_crc32={crc}"
+        of.setdefault(i, []).append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+    assert sorted(map(str, (tuple(r) for r in out))) == sorted(str(r) for rows in of.values() for r in rows)
 
 
 def brute_groups(prints):
@@ -153,6 +211,39 @@ def test_warc_round_trip(spark):
     assert sum(r.record_type == "revisit" for r in warc.read_warc(spark, path).collect()) == 1
 
 
+def archive_bytes(rows):
+    parts = [warc.member(warc.record(i, "u", payload, None)) for i, payload in rows]
+    return parts, np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
+def read_bytes(spark, data, tmp_path, split, damaged="keep"):
+    folder = tmp_path / f"w{len(list(tmp_path.iterdir()))}"
+    folder.mkdir()
+    (folder / "part.warc.gz").write_bytes(data)
+    return sorted((r.offset, r.record_type) for r in warc.read_warc(spark, f"file://{folder}", split, damaged=damaged).collect())
+
+
+def test_warc_damage_is_reported(spark, tmp_path):
+    rng = random.Random(2)
+    parts, at = archive_bytes([(i, bytes(rng.choices(b"abcdefgh <>\n", k=400 + 60 * i))) for i in range(8)])
+    whole, good = b"".join(parts), [(int(a), "response") for a in at[:-1]]
+    for split in (1 << 20, 300, 37):
+        assert read_bytes(spark, whole, tmp_path, split) == good
+        assert read_bytes(spark, whole[:-20], tmp_path, split) == [*good[:-1], (good[-1][0], "damaged")]
+        for k in (0, 3, 7):
+            for place in (at[k] + 2, at[k] + 40, at[k + 1] - 30, at[k + 1] - 6):
+                hurt = bytearray(whole)
+                hurt[place] ^= 0x55
+                got = read_bytes(spark, bytes(hurt), tmp_path, split)
+                assert [g for g in got if g[1] == "response"] == [g for j, g in enumerate(good) if j != k]
+                assert ("damaged" in {g[1] for g in got}) and all(at[k] <= g[0] < at[k + 1] for g in got if g[1] == "damaged")
+    with pytest.raises(Exception, match="damaged at byte"):
+        read_bytes(spark, whole[:-20], tmp_path, 300, "raise")
+    made = warc.record(1, "u", b"x", None)
+    for was, now in ((b"Content-Length: ", b"Content-Length: q"), (b"\r\n\r\nx", b"\r\n\r\ny")):
+        assert read_bytes(spark, warc.member(made.replace(was, now)), tmp_path, 100) == [(0, "damaged")]
+
+
 def test_html_text(spark):
     page = "<html><head><title>T</title><script>x='</p>'</script></head><body><nav><a>m</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>One <b>two</b><br>three&nbsp;four<p>x &lt;y&gt;<div class=comments>no</div></article><aside>s</aside><footer>f</footer>"
     assert html_template.Page(page).text(lambda d: False) == "A & B\nOne two three four\nx <y>"
@@ -213,6 +304,35 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid_kernel.predict(table.limit(3), None).collect()} == {"und"}
 
 
+SCRIPTS = {"en": "the of and that with", "ru": "и в не на что он был", "uk": "і в не на що він був", "el": "και το να είναι από", "hi": "है और के में की से", "zh": "的一是不了人我在有他", "ja": "のにはをたがでてとし", "ar": "في من على أن إلى"}
+
+
+def test_language_id_of_scripts_and_exact_kernels(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(SCRIPTS[x].split()) if " " in SCRIPTS[x] else "".join(rng.choices(SCRIPTS[x], k=4)) for _ in range(25)), x) for i in range(480) for x in [list(SCRIPTS)[i % 8]]]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid_kernel.fit(table)
+    told = {r.doc_id: r for r in langid_kernel.predict(table, model).collect()}
+    held = [(i, x) for i, _, x in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([told[i].lang_pred == x for i, x in held]) > 0.97
+
+    def brute(text):
+        import unicodedata
+
+        signs = [c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()]
+        return {tuple(signs[k : k + n]) for n in (1, 2, 3) for k in range(len(signs) - n + 1)}
+
+    texts = [rows[k][1] for k in range(16)] + ["A-b c!", "é", "1 2", "x" * 50]
+    spectrum = langid_kernel.Spectrum(model.grams)
+    for a in texts:
+        present, size = spectrum.presence(a)
+        assert size == len(brute(a)) == len(langid_kernel.grams(a))
+        assert (model.grams[present] == np.intersect1d(model.grams, langid_kernel.grams(a))).all()
+        for b in texts:
+            assert len(np.intersect1d(langid_kernel.grams(a), langid_kernel.grams(b))) == len(brute(a) & brute(b))
+    assert langid_kernel.fit(table, most_grams=1) is None
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((12, 16)) * 3
