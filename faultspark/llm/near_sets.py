@@ -7,12 +7,14 @@ min-hashes each: at a similarity of 0.8 the bit distance is 6 to 15, which no
 number of equal segments finds, while a band is shared but for one pair in
 (1 - 0.8^4)^16, some 2 in 10,000. Equal sets are one set from the start.
 
-First each set of a bucket is compared to the bucket's smallest. After that only
-sets outside the component that has most of a bucket are paired with the
-bucket's sets of other components, and a large group of near
-copies costs a few pairs for each of them. Of these pairs, those whose min-hashes
-differ in more than ``FAR`` of 64 places aren't verified: at a similarity of 0.8
-the mean is 12 and the deviation 3.1.
+Pairs are made in three rounds, and from the second on only between different
+components, so that a large group of near copies costs a few pairs for each of
+them. First each set of a bucket is compared to the bucket's smallest. Then sets
+outside the component that has most of a bucket are paired with the bucket's
+sets of other components, if their min-hashes differ in ``NEAR`` of 64 places at
+most, as those of half of the similar pairs do. What is left of buckets with
+several components meets by prefixes: of similar sets, the rarest fifth of
+either's shingles and one more must share one, which is exact.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultspark.llm import arrow, simhash_golay, work
@@ -31,7 +33,7 @@ from faultspark.llm.components import components
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
-FAR = 24
+NEAR = 12
 SEED = 42
 BLOCK = 1 << 12
 
@@ -125,6 +127,25 @@ def _close(a: str, b: str):
     return F.least(a, b) >= SIMILAR * F.greatest(a, b) - 1e-9
 
 
+def _by_prefix(sets: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``sets`` (sig, n, root) of different roots that may be similar.
+
+    Shingles are put in order of the number of ``sets`` that have them. Similar
+    sets have 80 % of the larger one's shingles in common, so among the first
+    n - 0.8 n + 1 shingles of each there is a common one."""
+    wanted = sets.select(F.col("sig").alias("one")).join(distinct.select("sig", "least"), F.col("one") == F.col("sig")).select("least")
+    texts = docs.join(work.cut(wanted, "wanted"), F.col("doc_id") == F.col("least")).select("doc_id", "text")
+    held = work.cut(_sets(texts).dropDuplicates(["of"]).select("of", F.explode("held").alias("shingle")), "shingles")
+    often = work.cut(held.groupBy(F.col("shingle").alias("same")).agg(F.count("*").alias("often")), "often")
+    counted = work.cut(held.join(often, F.col("shingle") == F.col("same")).select("of", "shingle", "often"), "counted")
+    order = F.row_number().over(Window.partitionBy("of").orderBy("often", "shingle"))
+    ranked = counted.withColumn("rank", order).join(sets, F.col("of") == F.col("sig"))
+    prefix = ranked.where((F.col("rank") <= F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9) + 1) & (F.col("often") > 1)).select("sig", "n", "root", "shingle")
+    prefix = work.cut(prefix, "prefix")
+    other = prefix.toDF("u", "un", "its", "same")
+    return prefix.join(other, (F.col("shingle") == F.col("same")) & (F.col("sig") < F.col("u")) & (F.col("root") != F.col("its")) & _close("n", "un")).select("u", F.col("sig").alias("v"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable by similar sets.
 
@@ -145,16 +166,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
     counts = marked.groupBy("key", "root").agg(F.count("*").alias("many"))
     top = work.cut(counts.groupBy(F.col("key").alias("bucket")).agg(F.max_by("root", "many").alias("top"), F.count("*").alias("roots")).where("roots > 1"), "top")
     mixed = work.cut(marked.join(top, F.col("key") == F.col("bucket")).select(F.col("sig").alias("one"), "key", "root", "top"), "mixed")
-    mixed = work.cut(mixed.join(distinct.select("sig", "n", "planes"), F.col("one") == F.col("sig")).select("sig", "n", "planes", "key", "root", "top"), "mixed")
-    rest = work.cut(mixed.where("root <> top").select(F.col("sig").alias("u"), F.col("n").alias("un"), F.col("planes").alias("its_planes"), F.col("key").alias("other"), F.col("root").alias("its")), "rest")
+    mixed = work.cut(mixed.join(distinct.select("sig", "n", "planes", "bands"), F.col("one") == F.col("sig")).select("sig", "n", "planes", "bands", "key", "root", "top"), "mixed")
+    rest = work.cut(mixed.where("root <> top").select(F.col("sig").alias("u"), F.col("n").alias("un"), F.col("planes").alias("its_planes"), F.col("bands").alias("its_bands"), F.col("key").alias("other"), F.col("root").alias("its")), "rest")
     words = [F.col("planes")[k].bitwiseXOR(F.col("its_planes")[k]) for k in range(4)]
     apart = F.bit_count(words[0].bitwiseOR(words[1]).bitwiseOR(words[2]).bitwiseOR(words[3]))
-    across = mixed.join(rest, (F.col("key") == F.col("other")) & (F.col("root") != F.col("its")) & _close("n", "un") & (apart <= FAR)).select("u", F.col("sig").alias("v"))
+    first_met = F.array_position(F.zip_with("bands", "its_bands", lambda x, y: x == y), True) == F.array_position("bands", F.col("key"))
+    across = mixed.join(rest, (F.col("key") == F.col("other")) & (F.col("root") != F.col("its")) & _close("n", "un") & (apart <= NEAR) & first_met).select("u", F.col("sig").alias("v"))
+    links = work.cut(links.union(_verified(across, docs, distinct)), "links")
+    roots = work.cut(components(links), "roots")
+    left = mixed.select("sig", "n").distinct().join(roots, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("root", "sig").alias("root"))
+    rare = _by_prefix(work.cut(left, "left"), docs, distinct)
     bits = work.cut(simhash_golay.links(reps.select(F.col("p").alias("print"))), "bits").toDF("a", "b")
     golay = bits.join(reps.toDF("p", "u"), F.col("a") == F.col("p")).select("u", "b").join(reps.toDF("q", "v"), F.col("b") == F.col("q")).select("u", "v")
     golay = golay.join(roots.toDF("x", "xr"), F.col("u") == F.col("x"), "left").join(roots.toDF("y", "yr"), F.col("v") == F.col("y"), "left")
     golay = golay.where(F.coalesce("xr", "u") != F.coalesce("yr", "v")).select("u", "v")
-    more = work.cut(_verified(across.union(golay), docs, distinct), "more")
+    more = work.cut(_verified(rare.union(golay), docs, distinct), "more")
     roots = components(links.union(more))
     rooted = work.cut(distinct.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root")), "rooted")
     ids = rooted.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("component_id"))
