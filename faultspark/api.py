@@ -20,8 +20,6 @@ def localize(rows: DataFrame, top: str, coverage: DataFrame, signal: str, time:
     flow = rtl.scope_flow(rows, blocks)
     start = rows.sparkSession.createDataFrame([(scope or top, signal, time)], "scope string, signal string, time bigint")
     found = slicing.dynamic_slice(flow, coverage, start, step, bound)
-    if found is None:
-        return []
     drivers = flow.groupBy("bid").agg(F.array_sort(F.collect_set("src")).alias("srcs"), F.min("out").alias("target"))
     met = found.join(blocks.select("bid", "module", "scope", "btype", "text"), "bid").join(drivers, "bid", "left")
     trace = [navigate.Block(r.bid, r.module, r.scope, r.btype, r.text, r.target or "", tuple((s, r.time) for s in r.srcs or ())) for r in met.orderBy("level", "bid", "time").limit(limit).collect()]

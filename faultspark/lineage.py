@@ -13,9 +13,11 @@ _MADE: list[str] = []
 
 def folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share; a local one
-    only where the session names none, as in tests."""
+    only where a local session names none, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = getattr(spark, "_faultspark_folder", None) or "file://" + tempfile.mkdtemp(prefix="faultspark-")
         spark._faultspark_folder = named
     return named.rstrip("/")

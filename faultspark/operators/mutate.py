@@ -26,12 +26,21 @@ def constant(literal: Column, draw: Column) -> Column:
     head = F.concat(F.regexp_extract(literal, pattern, 1), F.regexp_extract(literal, pattern, 2))
     plain = F.regexp_extract(literal, pattern, 2) == ""
     whole = F.when(plain, F.concat(F.regexp_extract(literal, pattern, 1), digits)).otherwise(digits)
+    # Of a wide constant the leading digits are lowered, as many as a double holds exactly.
+    digits_held = F.when(base == "'b", 48).when(base == "'o", 16).when(base == "'h", 12).otherwise(15)
+    out = F.get(F.transform(F.array(whole), lambda whole: _lowered(whole, draw, radix, digits_held)), F.lit(0))
+    return F.when(literal.rlike(pattern), F.when(plain, out).otherwise(F.concat(head, out)))
+
+
+def _lowered(whole: Column, draw: Column, radix: Column, digits_held: Column) -> Column:
+    """Digits of a smaller number, as many as before."""
     conv = lambda text, from_, to: F.call_function("conv", text, from_, to)
-    value = conv(whole, radix, F.lit(10)).cast("decimal(20,0)")
+    leading = F.regexp_replace(whole, "^0+(?=.)", "")
+    top, rest = F.substring(leading, F.lit(1), digits_held), F.substring(leading, digits_held + 1, F.char_length(leading))
+    value = conv(top, radix, F.lit(10)).cast("decimal(20,0)")
     less = F.when(value == 0, F.lit(1).cast("decimal(20,0)")).otherwise(F.floor(value.cast("double") * draw).cast("decimal(20,0)"))
-    shown = F.lower(conv(less.cast("string"), F.lit(10), radix))
-    out = F.lpad(shown, F.greatest(F.char_length(shown), F.char_length(whole)), F.lit("0"))
-    return F.when(literal.rlike(pattern), F.when(plain, out).otherwise(F.concat(head, out)))
+    shown = F.concat(F.lower(conv(less.cast("string"), F.lit(10), radix)), F.lower(rest))
+    return F.lpad(shown, F.greatest(F.char_length(shown), F.char_length(whole)), F.lit("0"))
 
 
 def spliced(source: Column, offset: Column, length: Column, replacement: Column) -> Column:

@@ -1,82 +1,58 @@
 """Backward slices over a block graph, breadth first by level.
 
 Edges are (dst, src, dt): src drives dst, dt time steps earlier. Each level is
-one join of the frontier with the edges and one anti-join with what has been
-visited; levels are written to the shared folder, so plans stay flat, and only
-counts come to the driver. A graph whose rows were counted as ``LOCAL_ROWS`` at
-most is walked on the driver instead, where a level costs microseconds and not
-a job; both ways give the same rows.
+one join of the frontier with the edges and one null-safe anti-join with what has
+been visited; levels are written to the shared folder, so plans stay flat, and
+only counts come to the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from faultspark.lineage import cut
 
-LOCAL_ROWS = 1_000_000
-
 
-def fits(df: DataFrame, most: int) -> bool:
-    """Whether a written table has so many rows at most."""
-    return most > 0 and df.count() <= most
+def without(rows: DataFrame, met: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose keys are not in ``met``; nulls are equal to each other."""
+    known = met.select(*(F.col(k).alias("_met_" + k) for k in keys))
+    return rows.join(known, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col("_met_" + k)) for k in keys)), "left_anti")
 
 
-def reach(edges: DataFrame, start: DataFrame, bound: int | None = None, timed: bool = True, scope=None, limit: int | None = None, levels: int = 10_000, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, bound: int | None = None, timed: bool = True, scope=None, limit: int | None = None, levels: int = 10_000) -> DataFrame:
     """Nodes, with times if ``timed``, that the start nodes depend on, with their level.
 
     ``start`` has node (and time). A time below ``bound`` (0 without one) is not
     visited; a null time passes. ``scope`` is a condition on ``node``. With
     ``limit`` the walk ends once there are more rows, and the first limit + 1
-    in canonical order are left."""
+    in canonical order are left. Repeated edges and starts count once, null times
+    are one time, and no start gives an empty table."""
     keys = ["node", "time"] if timed else ["node"]
     allowed = F.lit(True) if scope is None else scope
     if timed:
         allowed = allowed & (F.col("time").isNull() | (F.col("time") >= (bound or 0)))
     ways = cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("_src"), *([F.col("dt").alias("_dt")] if timed else [])).distinct())
-    if fits(ways, local_rows):
-        return _local_reach(ways, start, keys, bound or 0, scope, limit, levels)
     frontier = cut(start.select(*keys).where(allowed).distinct().withColumn("level", F.lit(0)))
-    seen, total, level = frontier, frontier.count(), 0
-    while level < levels and not frontier.isEmpty() and not (limit is not None and total > limit):
+    seen, level, new = frontier, 0, frontier.count()
+    total = new
+    while level < levels and new and not (limit is not None and total > limit):
         level += 1
         step = frontier.select(*keys).join(ways, "node")
         moved = step.select(F.col("_src").alias("node"), *([(F.col("time") - F.col("_dt")).alias("time")] if timed else [])).distinct().where(allowed)
-        frontier = cut(moved.join(seen.select(*keys), keys, "left_anti").withColumn("level", F.lit(level)))
-        total += frontier.count()
-        seen = seen.unionByName(frontier)
+        frontier = cut(without(moved, seen, keys).withColumn("level", F.lit(level)))
+        new = frontier.count()
+        total += new
+        if new:
+            seen = seen.unionByName(frontier)
     if limit is not None:
         return seen.orderBy("level", *keys).limit(limit + 1)
     return seen
 
 
-def _local_reach(ways: DataFrame, start: DataFrame, keys: list[str], bound: int, scope, limit: int | None, levels: int) -> DataFrame:
-    """``reach`` over few edges, on the driver."""
-    timed = len(keys) == 2
-    table = ways.toPandas()
-    nodes = start.select("node").union(ways.select(F.col("_src").alias("node"))).distinct()
-    open_ = None if scope is None else {r[0] for r in nodes.where(scope).collect()}
-    ahead: dict = {}
-    for row in table.itertuples(index=False):
-        ahead.setdefault(row[0], []).append((row[1], int(row[2]) if timed else 0))
-    ok = lambda n, t: (open_ is None or n in open_) and (t is None or t >= bound)
-    frontier = {(n, t) for n, *rest in start.select(*keys).distinct().collect() for t in [rest[0] if timed else 0] if ok(n, t)}
-    level, seen = 0, {}
-    while frontier and level <= levels and not (limit is not None and len(seen) > limit):
-        seen.update(dict.fromkeys(frontier, level))
-        moved = {(n, None if t is None else t - d) for at, t in frontier for n, d in ahead.get(at, ())}
-        frontier = {x for x in moved if x not in seen and ok(*x)}
-        level += 1
-    rows = [(n, t, k) if timed else (n, k) for (n, t), k in seen.items()]
-    if limit is not None:
-        rows = sorted(rows, key=lambda r: (r[-1], *r[:-1]))[: limit + 1]
-    kinds = [start.schema["node"], *([start.schema["time"]] if timed else [])]
-    return start.sparkSession.createDataFrame(rows, StructType([StructField(f.name, f.dataType) for f in kinds] + [StructField("level", IntegerType())]))
-
-
-def dynamic_slice(flow: DataFrame, coverage: DataFrame, start: DataFrame, step: int = 1, bound: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def dynamic_slice(flow: DataFrame, coverage: DataFrame, start: DataFrame, step: int = 1, bound: int | None = None) -> DataFrame:
     """(bid, time, level): blocks met walking back from signals, gated by coverage.
 
     ``flow`` has the def-use rows (bid, scope, seq, line, out, src): block bid of
@@ -85,12 +61,12 @@ def dynamic_slice(flow: DataFrame, coverage: DataFrame, start: DataFrame, step:
     assigns have a null line and always count. A block is recorded when a line
     of it is covered; its drivers are those of its covered definitions of the
     signal, each definition visited once by whichever walk comes first in
-    (level, time descending) order; a clocked block looks one step earlier."""
+    (level, time descending) order; a clocked block looks one step earlier. No
+    start gives an empty table."""
     flow, coverage = cut(flow), cut(coverage)
     blocks = flow.select("bid", "scope", "seq", "line", "out").distinct()
-    if fits(flow, local_rows) and fits(coverage, local_rows):
-        return _local_slice(flow, coverage, start, step, bound or 0)
     frontier = cut(start.select("scope", F.col("signal").alias("out"), "time").distinct())
+    kinds = f"bid {flow.schema['bid'].dataType.simpleString()}, time {start.schema['time'].dataType.simpleString()}, level int"
     asked, done, found, level = frontier, None, None, 0
     covered = coverage.where("count > 0").select("scope", "line", "time").distinct()
     while not frontier.isEmpty():
@@ -113,36 +89,7 @@ def dynamic_slice(flow: DataFrame, coverage: DataFrame, start: DataFrame, step:
         frontier = cut(drivers.where(F.col("time") >= (bound or 0)).distinct().join(asked, ["scope", "out", "time"], "left_anti"))
         asked = cut(asked.unionByName(frontier))
         level += 1
-    return found
-
-
-def _local_slice(flow: DataFrame, coverage: DataFrame, start: DataFrame, step: int, bound: int) -> DataFrame:
-    """``dynamic_slice`` over few rows, on the driver."""
-    defines: dict = {}
-    drivers: dict = {}
-    for bid, scope, seq, line, out, src in flow.select("bid", "scope", "seq", "line", "out", "src").distinct().collect():
-        defines.setdefault((scope, out), set()).add((bid, seq, line))
-        drivers.setdefault((bid, line, out), set()).add(src)
-    live = {tuple(r) for r in coverage.where("count > 0").select("scope", "line", "time").distinct().collect()}
-    frontier = {tuple(r) for r in start.select("scope", "signal", "time").distinct().collect()}
-    asked, done, found, level = set(frontier), set(), {}, 0
-    while frontier:
-        fresh: dict = {}
-        for scope, out, time in frontier:
-            for bid, seq, line in defines.get((scope, out), ()):
-                if line is not None and (scope, line, time) not in live:
-                    continue
-                found.setdefault((bid, time), level)
-                if (bid, line, out) not in done:
-                    key = (bid, scope, seq, line, out)
-                    fresh[key] = max(time, fresh.get(key, time))
-        done.update((bid, line, out) for bid, _, _, line, out in fresh)
-        moved = {(scope, src, time - (step if seq else 0)) for (bid, scope, seq, line, out), time in fresh.items() for src in drivers[bid, line, out]}
-        frontier = {x for x in moved if x[2] >= bound} - asked
-        asked |= frontier
-        level += 1
-    kinds = [StructField("bid", flow.schema["bid"].dataType), StructField("time", start.schema["time"].dataType), StructField("level", IntegerType())]
-    return start.sparkSession.createDataFrame([(b, t, k) for (b, t), k in found.items()], StructType(kinds))
+    return start.sparkSession.createDataFrame([], kinds) if found is None else found
 
 
 def resolve_scope(paths: DataFrame, known: DataFrame, path: str = "path") -> DataFrame:

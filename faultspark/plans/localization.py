@@ -262,7 +262,11 @@ def slice_scope_limited_all(spark, sf_dir):
     return slicing.reach(fx.edges(spark, sf_dir), _all_starts(spark, sf_dir), timed=False, scope=F.col("node") % 2 == 0).select("node")
 
 
-@query("slice_limit")
+@query(
+    "slice_limit",
+    EDGES + """, walk AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_partkey % 500 = 7 UNION SELECT src, level + 1 FROM walk JOIN edges ON dst = node WHERE level < 4)
+      SELECT node, min(level) AS level FROM walk GROUP BY node ORDER BY level, node LIMIT 101""",
+)
 def slice_limit(spark, sf_dir):
     start = fx.load(spark, sf_dir, "part").where("p_partkey % 500 = 7").select(F.col("p_partkey").alias("node"))
     return slicing.reach(fx.edges(spark, sf_dir), start, timed=False, limit=100)

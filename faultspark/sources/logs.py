@@ -72,9 +72,11 @@ def commits(log: Column) -> Column:
         part = lambda k: F.regexp_extract(line, pattern, k)
         return F.struct(part(1).cast("int").alias("idx"), hex_number(part(2)).alias("pc"), hex_number(part(3)).cast("bigint").alias("inst"), part(4).cast("int").alias("wen"), part(5).cast("int").alias("dst"), hex_number(part(6)).alias("data"))
 
-    empty = F.array().cast("array<struct<idx:int,pc:decimal(20,0),inst:bigint,wen:int,dst:int,data:decimal(20,0)>>")
-    index = lambda line: F.regexp_extract(line, pattern, 1).cast("int")
-    return F.aggregate(lines, empty, lambda acc, line: F.when(F.exists(acc, lambda c: c["idx"] == index(line)), acc).otherwise(F.concat(acc, F.array(one(line)))))
+    numbered = F.array_sort(F.transform(lines, lambda line, at: F.struct(F.regexp_extract(line, pattern, 1).cast("int").alias("idx"), at.alias("at"), line.alias("line"))))
+    # The sorted array is bound to a name, as a lambda would compute it for each element.
+    firsts = F.transform(F.array(numbered), lambda found: F.filter(found, lambda x, k: (k == 0) | ~F.get(found, k - 1)["idx"].eqNullSafe(x["idx"])))
+    placed = F.array_sort(F.transform(F.get(firsts, F.lit(0)), lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"))))
+    return F.transform(placed, lambda x: one(x["line"]))
 
 
 def differences(log: Column) -> Column:
@@ -125,7 +127,15 @@ def report_text(kind: Column, instruction_: Column, dut: Column, oracle: Column)
     """The sentence of a test report about a mismatch."""
     word = lambda c: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(c.cast("bigint"))), 8, "0"))
     told = F.format_string
-    return (
+    truth = lambda c: F.when(c != 0, "true").otherwise("false")
+    # The sentences of a report, without and with a known instruction.
+    bare = (
+        F.when(kind == "Pc", told("PC mismatch detected: Expected PC %s, but got %s\n\n", word(oracle), word(dut)))
+        .when(kind == "We", told("Write enable mismatch detected: Expected WE %s, but got %s\n\n", truth(oracle), truth(dut)))
+        .when(kind == "Waddr", told("Write address mismatch detected: Expected WADDR %s, but got %s\n\n", word(oracle), word(dut)))
+        .when(kind == "Wdata", told("Write data mismatch detected: Expected WDATA %s, but got %s\n\n", word(oracle), word(dut)))
+    )
+    return F.when(instruction_.isNull(), bare).otherwise(
         F.when(kind == "Pc", told("Now this core design is buggy when executing the instruction:\n %s \nAfter executing this instruction, this core jumps to a wrong address %s which should jump to address %s\n\n", instruction_, word(dut), word(oracle)))
         .when(kind == "We", told("Now this core design is buggy when executing a instruction. %s this instruction %s but %s.\n\n", instruction_, F.when(oracle != 0, "should write to register").otherwise("should not write to register"), F.when(dut != 0, "is writing to register").otherwise("is not writing to register")))
         .when(kind == "Waddr", told("Now this core design is buggy when executing a instruction. %s this instruction writes to wrong register address %s which should write to register address %s.\n\n", instruction_, word(dut), word(oracle)))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultspark import api
-from faultspark.operators import blocks, coverage, evaluate, navigate, slicing, wave
+from faultspark.operators import blocks, coverage, evaluate, mutate, navigate, slicing, wave
 from faultspark.sources import designs, logs, rtl, vcd
 from faultspark.streaming import held
 
@@ -50,7 +50,7 @@ def test_static_slice_holds_dynamic_slice(spark):
     start = spark.createDataFrame([("top", "s0", 5)], "scope string, signal string, time bigint")
     cover = spark.createDataFrame(covered, "scope string, line int, time bigint, count int")
     got = {(r.bid, r.time): r.level for r in slicing.dynamic_slice(table, cover, start).collect()}
-    assert {(r.bid, r.time): r.level for r in slicing.dynamic_slice(table, cover, start, local_rows=0).collect()} == got
+    assert slicing.dynamic_slice(table, cover, start.limit(0)).schema.simpleString() == "struct<bid:int,time:bigint,level:int>"
     live = {(line, t) for _, line, t, _ in covered}
     frontier, asked, done, want, level = {("s0", 5)}, {("s0", 5)}, set(), {}, 0
     while frontier:
@@ -75,11 +75,26 @@ def test_static_slice_holds_dynamic_slice(spark):
 def test_timed_reach(spark):
     edges = spark.createDataFrame([(1, 2, 1), (2, 3, 0), (3, 1, 1), (3, 4, 5)], "dst int, src int, dt int")
     start = spark.createDataFrame([(1, 3)], "node int, time int")
-    for local in (0, 1000):
-        assert rows(slicing.reach(edges, start, local_rows=local), "time", "node") == [(2, 0, 4), (3, 0, 5), (1, 1, 3), (2, 2, 1), (3, 2, 2), (1, 3, 0)]
-        assert rows(slicing.reach(edges, start, limit=2, local_rows=local), "level") == [(1, 3, 0), (2, 2, 1), (3, 2, 2)]
-        assert rows(slicing.reach(edges, start, scope=F.col("node") != 3, local_rows=local), "level") == [(1, 3, 0), (2, 2, 1)]
-        assert rows(slicing.reach(edges, start, timed=False, local_rows=local).select("node"), "node") == [(1,), (2,), (3,), (4,)]
+    assert rows(slicing.reach(edges, start), "time", "node") == [(2, 0, 4), (3, 0, 5), (1, 1, 3), (2, 2, 1), (3, 2, 2), (1, 3, 0)]
+    assert rows(slicing.reach(edges, start, limit=2), "level") == [(1, 3, 0), (2, 2, 1), (3, 2, 2)]
+    assert rows(slicing.reach(edges, start, scope=F.col("node") != 3), "level") == [(1, 3, 0), (2, 2, 1)]
+    assert rows(slicing.reach(edges, start, timed=False).select("node"), "node") == [(1,), (2,), (3,), (4,)]
+    circle = spark.createDataFrame([(1, 2, 0), (2, 3, 0), (3, 1, 0), (3, 1, 0)], "dst int, src int, dt int")
+    timeless = spark.createDataFrame([(1, None), (1, None)], "node int, time int")
+    assert rows(slicing.reach(circle, timeless), "level") == [(1, None, 0), (2, None, 1), (3, None, 2)]
+    assert slicing.reach(circle, timeless.limit(0)).count() == 0
+
+
+def test_wide_constants_and_repeated_commits(spark):
+    wide = "128'hffffffffffffffffffffffffffffffff"
+    table = spark.createDataFrame([(wide,), ("128'h0",), ("8'b00000011",), ("99999999999999999999999",), ("64'hFFFF",)], "c string")
+    out = [r.m for r in table.select(mutate.constant(F.col("c"), F.lit(0.5)).alias("m")).collect()]
+    assert out == ["128'h7fffffffffff" + "f" * 20, "128'h1", "8'b00000001", "49999999999999999999999"[:15] + "99999999", "64'h7fff"]
+    line = "[%d] commit pc 80000000 inst 00000013 wen 1 dst %d data 10"
+    log = "\n".join(line % (i, k) for k, i in enumerate([5, 3, 5, 9, 3, 1]))
+    got = spark.createDataFrame([(log,), ("",), (None,)], "log string").select(logs.commits(F.col("log")).alias("c")).collect()
+    assert [(c.idx, c.dst) for c in got[0].c] == [(5, 0), (3, 1), (9, 3), (1, 5)] and got[1].c == [] and got[2].c is None
+
 
 
 def test_scopes_and_drivers(spark):
