@@ -13,9 +13,11 @@ _MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a local one only where a local session has none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(spark, "_faultspark_dir", None) or "file://" + tempfile.mkdtemp(prefix="faultspark-")
         spark._faultspark_dir = found
     return found.rstrip("/")
