@@ -256,5 +256,5 @@ def features(stored: DataFrame) -> DataFrame:
 def op2_telephony(spark, sf_dir: str) -> DataFrame:
     """The media and PCM columns of all documents, written as a table and read back."""
     path = work.new_path(spark, "media")
-    store(work.read(spark, sf_dir, "documents")).write.option("compression", "zstd").option("parquet.block.size", BLOCK_BYTES).parquet(path)
+    store(work.read(spark, sf_dir, "documents")).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 6).option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return features(spark.read.parquet(path))
