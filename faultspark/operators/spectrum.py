@@ -68,16 +68,18 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
-    """(scope, line, bid) of every line of blocks (bid, scope, lo, hi)."""
-    return blocks.select("scope", F.explode(F.sequence("lo", "hi")).alias("line"), "bid")
+    """(scope, line, bid) of every line of blocks (bid, scope, lo, hi); a block with lo above hi has none."""
+    return blocks.where("lo <= hi").select("scope", F.explode(F.sequence("lo", "hi")).alias("line"), "bid")
 
 
 def lines_to_blocks(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """The first block, by bid, that holds each line; lines in none are dropped.
 
-    The range join is an equi-join on the blocks' lines."""
+    The range join is an equi-join on the blocks' lines. Spark's estimate of
+    their size is that of the blocks, so without the hint it would broadcast
+    lines that are far larger."""
     first = block_lines(blocks).groupBy("scope", "line").agg(F.min("bid").alias("bid"))
-    return lines.join(first, ["scope", "line"])
+    return lines.join(first.hint("merge"), ["scope", "line"])
 
 
 def block_bounds(lines: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def blocks_descendants(spark, sf_dir):
 
 @query("block_by_line", fx.with_sql("ranges") + "SELECT line, min(bid) AS bid FROM (SELECT DISTINCT l_partkey AS line FROM lineitem) JOIN ranges ON line BETWEEN lo AND hi AND scope = line % 10 GROUP BY line")
 def block_by_line(spark, sf_dir):
-    lines = fx.load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("line"), (F.col("l_partkey") % 10).alias("scope")).distinct()
+    lines = fx.load(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 10).alias("scope"), F.col("l_partkey").alias("line")).distinct()
     return spectrum.lines_to_blocks(lines, fx.block_ranges(spark, sf_dir)).select("line", "bid")
 
 
